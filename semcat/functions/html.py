@@ -126,12 +126,14 @@ def parse_html(value: str) -> str:
 def _hard_html_udf():
     # Marked non-deterministic so that no filter on the text is pushed below
     # it, which would run the cleaning twice.
-    @F.arrow_udf("string")
+    @F.arrow_udf("array<string>")
     def hard_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(
-                [None if v is None else parse_html(v) for v in batch.to_pylist()], pa.string()
-            )
+            rows = [
+                None if row is None else [None if v is None else parse_html(v) for v in row]
+                for row in batch.to_pylist()
+            ]
+            yield pa.array(rows, pa.list_(pa.string()))
 
     return hard_html.asNondeterministic()
 
@@ -163,50 +165,46 @@ def _join_nodes(flat: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
+def _needs_parser(flat: Column, value: Column) -> Column:
+    return flat.contains("<") | flat.rlike(_UNKNOWN_ENTITY) | value.contains(_CUT)
+
+
 def with_html_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add or replace ``target: source`` columns by the text of the source.
 
-    Three narrow steps (flatten, parse what is left, decode): the flattened
-    value is referred to several times, and separate projections keep it from
-    being computed for each reference.
+    The values travel as one array, so a table with many string columns still
+    has one expression per step.  Narrow steps (flatten, parse what is left,
+    decode) keep each from being computed once per reference.
     """
-    flat = {t: f"__flat_{i}" for i, t in enumerate(columns)}
-    hard = {t: f"__hard_{i}" for i, t in enumerate(columns)}
-    values = {t: or_missing(F.col(s)) for t, s in columns.items()}
-    hard_html = _hard_html_udf()
+    targets = list(columns)
+    values, flat, left, hard, text = "__values", "__flat", "__left", "__hard", "__text"
+    c = F.col
 
-    staged = df.select(
+    steps = df.select("*", F.array(*[or_missing(c(s)) for s in columns.values()]).alias(values))
+    steps = steps.select(
         "*",
-        *[
-            F.when(_has_markup(F.col(s)), F.regexp_replace(F.col(s), _MARKUP, _CUT)).alias(flat[t])
-            for t, s in columns.items()
-        ],
+        F.transform(
+            values, lambda v: F.when(_has_markup(v), F.regexp_replace(v, _MARKUP, _CUT))
+        ).alias(flat),
+    )
+    steps = steps.select(
+        "*", F.zip_with(values, flat, lambda v, f: F.when(_needs_parser(f, v), v)).alias(left)
     )
-    staged = staged.select(
+    steps = steps.select(
+        "*", _hard_html_udf()(F.when(F.exists(left, F.isnotnull), c(left))).alias(hard)
+    )
+    steps = steps.select(
         "*",
-        *[
-            hard_html(
-                F.when(
-                    F.col(flat[t]).contains("<")
-                    | F.col(flat[t]).rlike(_UNKNOWN_ENTITY)
-                    | F.col(s).contains(_CUT),
-                    F.col(s),
-                )
-            ).alias(hard[t])
-            for t, s in columns.items()
-        ],
+        F.transform(
+            flat,
+            lambda f, i: F.coalesce(
+                F.get(hard, i), F.when(f.isNotNull(), _join_nodes(f)).otherwise(py_strip(F.get(values, i)))
+            ),
+        ).alias(text),
     )
-    text = {
-        t: F.coalesce(
-            F.col(hard[t]),
-            _join_nodes(F.col(flat[t])),
-            py_strip(values[t]),
-        )
-        for t in columns
-    }
-    kept = [text[c].alias(c) if c in columns else F.col(c) for c in df.columns]
-    new = [text[t].alias(t) for t in columns if t not in df.columns]
-    return staged.select(*kept, *new)
+    cleaned = {t: F.get(text, i).alias(t) for i, t in enumerate(targets)}
+    kept = [cleaned.get(name, c(name)) for name in df.columns]
+    return steps.select(*kept, *[cleaned[t] for t in targets if t not in df.columns])
 
 
 def clean_strings(df: DataFrame) -> DataFrame:

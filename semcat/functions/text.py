@@ -82,4 +82,23 @@ def section(description: Column, pattern: str) -> Column:
 
 
 def percent(score: Column) -> Column:
-    return F.format_string("%.1f %%", score * 100)
+    """Score as a percentage with one decimal.
+
+    Rounds the exact binary value, half to even, as Python does;
+    ``format_string`` would round the printed decimal digits, half up.
+    """
+    x = F.abs(score * 100)
+    whole = F.floor(x)
+    scale = 57  # enough bits for every value that can round to 0.1
+    scaled = ((x - whole) * F.lit(2.0**scale)).cast("long") * 10
+    tenths = F.shiftright(scaled, scale)
+    rest, half = scaled - F.shiftleft(tenths, scale), 1 << (scale - 1)
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    total = whole * 10 + tenths + up.cast("long")
+    return F.concat(
+        F.when(score < 0, F.lit("-")).otherwise(F.lit("")),
+        F.floor(total / 10).cast("string"),
+        F.lit("."),
+        (total % 10).cast("string"),
+        F.lit(" %"),
+    )

@@ -68,11 +68,12 @@ def ingest_pages(
     batch: str,
     out: str,
     max_pages: int | None = MAX_PAGES,
+    per_line: bool = False,
 ) -> None:
     """Landed API pages to ``out``/cleaned, ``out``/uuid and facet lists."""
     calls = fresh_or_cached_calls(
         spark,
-        lambda: calls_of_pages(read_page_files(spark, pages_path), max_pages),
+        lambda: calls_of_pages(read_page_files(spark, pages_path, per_line), max_pages),
         cache_root,
         batch,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semcat.functions.jsonx import json_fields
 from semcat.operators.normalise import ALLOWED_STATUS
 from semcat.schema import ORDER_COLUMN
 
@@ -16,19 +17,25 @@ ITEM_LANGUAGES = ("en",)
 _POSITION_BITS = 1 << 20
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """(page, body) of page files; the page is the last number in the file name."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).cast("long").alias("page"),
-        F.col("value").alias("body"),
-    )
+def read_page_files(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(page, body) of landed pages.
+
+    Either a file is one page and its name ends in the page number, or, for many
+    pages, every line of a file is one page with a ``page`` field.
+    """
+    return _pages(spark.read.text(path, wholetext=not per_line), per_line)
 
 
-def stream_page_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).cast("long").alias("page"),
-        F.col("value").alias("body"),
-    )
+def stream_page_files(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    return _pages(spark.readStream.text(path, wholetext=not per_line), per_line)
+
+
+def _pages(texts: DataFrame, per_line: bool) -> DataFrame:
+    if per_line:
+        number = F.get_json_object("value", "$.page")
+    else:
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
+    return texts.select(number.cast("long").alias("page"), F.col("value").alias("body"))
 
 
 def _results(body: Column) -> Column:
@@ -62,19 +69,24 @@ def page_items(parsed: DataFrame) -> DataFrame:
 def requested_items(items: DataFrame) -> DataFrame:
     """The conditions sent with the request, for landed data that is broader.
 
-    A condition holds for an item when the field is there and one of its values
-    is asked for; the order by status is kept in ``row_order`` by the pages.
+    A condition holds for an item when one of its values is asked for; the
+    order by status is what the page order already reflects.
     """
 
-    def one_of(path: str, allowed: tuple[str, ...]) -> Column:
-        raw = F.get_json_object("item", path)
-        listed = F.from_json(raw, "array<string>")
-        values = F.when(raw.startswith("["), listed).otherwise(F.array(raw))
-        wanted = F.array(*[F.lit(v) for v in allowed])
-        return F.coalesce(F.arrays_overlap(F.array_compact(values), wanted), F.lit(False))
-
-    return items.filter(
-        one_of("$.metadata.type", ITEM_TYPES)
-        & one_of("$.metadata.status", ALLOWED_STATUS)
-        & one_of("$.language", ITEM_LANGUAGES)
+    def one_of(values: Column, allowed: tuple[str, ...]) -> Column:
+        return F.arrays_overlap(values, F.array(*[F.lit(v) for v in allowed]))
+
+    fields = json_fields(
+        F.col("item"),
+        {"status": "metadata.status"},
+        {"type": "metadata.type", "language": "language"},
+    )
+    return (
+        items.withColumn("asked", fields)
+        .filter(
+            one_of(F.col("asked.type"), ITEM_TYPES)
+            & F.col("asked.status").isin(*ALLOWED_STATUS)
+            & one_of(F.col("asked.language"), ITEM_LANGUAGES)
+        )
+        .drop("asked")
     )

@@ -44,13 +44,13 @@ def refresh_stream(
 
 
 def calls_stream(
-    spark: SparkSession, pages_path: str, out: str, checkpoint: str
+    spark: SparkSession, pages_path: str, out: str, checkpoint: str, per_line: bool = False
 ) -> StreamingQuery:
     """Normalised, filtered calls of newly landed API pages, appended as Parquet.
 
     The cut at the first empty page needs all pages and is a batch matter.
     """
-    items = page_items(parsed_pages(stream_page_files(spark, pages_path)))
+    items = page_items(parsed_pages(stream_page_files(spark, pages_path, per_line)))
     return (
         kept_calls(items_to_calls(items))
         .writeStream.format("parquet")
