@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from semcat.functions.text import or_missing, py_strip
 from semcat.schema import string_columns
+from semcat.session import spread
 
 # Elements whose text is not page text, and elements that never
 # have content.
@@ -180,7 +181,7 @@ def with_html_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     values, flat, left, hard, text = "__values", "__flat", "__left", "__hard", "__text"
     c = F.col
 
-    steps = df.select("*", F.array(*[or_missing(c(s)) for s in columns.values()]).alias(values))
+    steps = spread(df).select("*", F.array(*[or_missing(c(s)) for s in columns.values()]).alias(values))
     steps = steps.select(
         "*",
         F.transform(

@@ -51,7 +51,8 @@ def clean_and_store(
     written = spark.read.parquet(base)
     if base != cleaned_path:
         write_programmes(written, cleaned_path, drop)
-    write_facets(facet_values(written, facet_columns), facet_folder, facet_prefix)
+    facet_columns = tuple(facet_columns) or FACET_COLUMNS
+    write_facets(facet_values(written, facet_columns), facet_folder, facet_columns, facet_prefix)
     write_programmes(with_uuid(written, source_column), uuid_path, drop)
 
 

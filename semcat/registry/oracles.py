@@ -65,7 +65,7 @@ _POINTS = f"""points AS (
 _RANKED = f"""{_POINTS},
 scored AS (
   SELECT CAST(q.vec_id AS VARCHAR) AS qid, p.uuid, p.vec_id, p.label,
-    list_cosine_similarity(p.v, q.v) AS score FROM points p, points q),
+    round(list_cosine_similarity(p.v, q.v), 12) AS score FROM points p, points q),
 ranked AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uuid) AS rank FROM scored)
   WHERE rank <= {K})"""
@@ -258,6 +258,38 @@ UNION ALL SELECT uuid, 7, 1.0 FROM docs""",
 SELECT uuid, CAST(len({_STARTS.format(w=384, s=288)}) AS BIGINT) AS n_points FROM toks WHERE len(t) > 0
 UNION ALL SELECT uuid, 1 FROM remaining""",
     "q_stream_refresh": f"WITH {_PROGRAMMES} SELECT uuid, description FROM prog WHERE NOT deleted AND regexp_matches(description, '\\S')",
+    "q_search_text": f"""WITH {_PROGRAMMES},
+toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT coalesce(deleted, false)),
+cuts AS (SELECT id, t, unnest({_STARTS.format(w=384, s=288)}) AS s FROM toks WHERE len(t) > 0),
+texts AS (
+  SELECT 'p' AS side, id, s // 288 AS chunk_no, list_slice(t, s + 1, s + 384) AS w FROM cuts
+  UNION ALL SELECT 'q', conv_id || '-' || turn, 0, regexp_extract_all(substr(text, 1, 5000), {_WORD})
+  FROM conversations WHERE role = 'user' AND text <> ''),
+words AS (SELECT side, id, chunk_no, CAST('0x' || substr(md5(lower(unnest(w))), 1, 8) AS BIGINT) AS code FROM texts),
+cells AS (
+  SELECT side, id, chunk_no, (code >> 1) % 768 AS cell, sum(CASE WHEN code & 1 = 1 THEN 1 ELSE -1 END) AS n FROM words GROUP BY ALL),
+vals AS (
+  SELECT side, id, chunk_no, cell,
+    CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY side, id, chunk_no)) AS FLOAT) AS DOUBLE) AS x FROM cells WHERE n <> 0),
+lens AS (SELECT side, id, chunk_no, sqrt(sum(x * x)) AS len FROM vals GROUP BY ALL),
+dots AS (SELECT q.id AS qid, p.id AS uuid, p.chunk_no, sum(q.x * p.x) AS dot FROM vals q JOIN vals p ON q.cell = p.cell
+  WHERE q.side = 'q' AND p.side = 'p' GROUP BY ALL),
+scored AS (
+  SELECT q.id AS qid, p.id AS uuid, p.chunk_no, round(coalesce(dot / (ql.len * pl.len), 0), 12) AS score
+  FROM texts q JOIN texts p ON q.side = 'q' AND p.side = 'p'
+  LEFT JOIN dots d ON d.qid = q.id AND d.uuid = p.id AND d.chunk_no = p.chunk_no
+  LEFT JOIN lens ql ON ql.side = 'q' AND ql.id = q.id
+  LEFT JOIN lens pl ON pl.side = 'p' AND pl.id = p.id AND pl.chunk_no = p.chunk_no),
+ranked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uuid, chunk_no) AS rank FROM scored) WHERE rank <= 20),
+results AS (
+  SELECT r.qid, min(r.rank) AS rank, p.id_url AS project_id, max(r.score) AS score, arg_min(p, r.rank) AS m
+  FROM ranked r JOIN prog p ON p.uuid = r.uuid GROUP BY r.qid, p.id_url)
+SELECT qid, rank, project_id, m.title AS project_title, array_to_string(m.funding_area, '|') AS funding_area,
+  round(score, 5) AS matching_score FROM results
+WHERE len(list_intersect(m.funding_location, ['en', 'fr', 'de'])) > 0
+  AND len(list_intersect(m.funding_area, ['en', 'src1', 'src2', 'de'])) > 0
+  AND NOT (m.short_description = 'N/A' AND m.full_description = 'N/A')""",
     "q_topk_single": f"""WITH {_POINTS}, one AS (SELECT list_transform(range({DIM}), lambda i: CAST(i % 5 - 2 AS DOUBLE)) AS q)
 SELECT uuid, round(score, 5) AS score FROM (SELECT uuid, list_cosine_similarity(v, q) AS score FROM points, one)
 ORDER BY score DESC, uuid LIMIT 50""",

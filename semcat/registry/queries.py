@@ -417,7 +417,7 @@ def q_facets_multi(spark, sf):
 def q_facet_options(spark, sf):
     """Facet lists written as text and read back."""
     root = work_dir(spark, "facets")
-    catalogue.write_facets(facets.facet_values(_variants(spark, sf), ("names",)), root, "x_")
+    catalogue.write_facets(facets.facet_values(_variants(spark, sf), ("names",)), root, ("names",), "x_")
     return catalogue.read_facet_options(spark, f"{root}/x_names.txt")
 
 
@@ -467,7 +467,8 @@ def q_remaining(spark, sf):
 @query
 def q_new_rows(spark, sf):
     rows = programmes(spark, sf)
-    return diff.new_active_rows(rows, diff.remaining_ids(stored_ids(spark, sf), rows)).select("uuid", "description")
+    ids = diff.new_ids(rows, diff.remaining_ids(stored_ids(spark, sf), rows))
+    return diff.new_active_rows(rows, ids).select("uuid", "description")
 
 
 def _store(spark, sf):

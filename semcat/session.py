@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for.  Shuffle partition counts are left to the
 # cluster: adaptive execution coalesces them, so a generous number is right.
@@ -37,3 +37,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="semcat-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when the input has fewer files than there are cores.
+
+    For work that is heavy per row.  A table of many files is left as it is, so
+    at scale nothing is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df

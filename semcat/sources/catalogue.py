@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -78,14 +78,20 @@ def read_archives(
     return rows.repartition(ORDER_COLUMN)
 
 
-def write_facets(values: DataFrame, folder: str, prefix: str = "") -> None:
-    """One sorted text folder ``{prefix}{column}.txt`` per facet, one value a line.
+def write_facets(
+    values: DataFrame, folder: str, columns: Sequence[str], prefix: str = ""
+) -> None:
+    """Facet values as a table ``{prefix}values`` and, per column, a sorted text
+    folder ``{prefix}{column}.txt`` with one value a line.
 
-    The sort is by range, so a long list is several files in order.
+    The table is written first, so the values are computed once.  The sort is by
+    range: a long list is several files in order.
     """
-    for row in values.select("column").distinct().orderBy("column").collect():
-        name = row["column"]
-        values.filter(F.col("column") == name).select("value").orderBy("value").write.mode(
+    spark = values.sparkSession
+    values.write.mode("overwrite").parquet(f"{folder}/{prefix}values")
+    written = spark.read.parquet(f"{folder}/{prefix}values")
+    for name in columns:
+        written.filter(F.col("column") == name).select("value").orderBy("value").write.mode(
             "overwrite"
         ).text(f"{folder}/{prefix}{name}.txt")
 
