@@ -578,21 +578,23 @@ def _shown(df):
     )
 
 
+def _collapsed(spark, sf):
+    hits, bound = topk.bounded_top_k(stored_points(spark, sf), vector_queries(spark, sf), K)
+    return results.collapse_hits(hits, _label_payload(spark, sf), bound)
+
+
 @query
 def q_collapse_hits(spark, sf):
-    matches = results.attach_payload(_hits(spark, sf), _label_payload(spark, sf))
-    return _shown(results.collapse_hits(matches))
+    return _shown(_collapsed(spark, sf))
 
 
 @query
 def q_collapse_again(spark, sf):
     """Results with other ids: projects merge further, blank ids are dropped."""
-    matches = results.attach_payload(_hits(spark, sf), _label_payload(spark, sf))
-    once = results.collapse_hits(matches)
     merged = F.when(c("project_id").isin("label/1", "label/2"), lit("label/1")).when(
         c("project_id") != "label/3", c("project_id")
     )
-    return _shown(results.collapse_again(once.withColumn("project_id", merged)))
+    return _shown(results.collapse_again(_collapsed(spark, sf).withColumn("project_id", merged)))
 
 
 def _search(spark, sf, filters=FILTERS):

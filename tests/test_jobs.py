@@ -1,0 +1,257 @@
+"""Whole jobs: landed data to stored tables, sync, search, streams."""
+
+import datetime as dt
+import json
+import uuid
+import zipfile
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from semcat.functions.ids import NAMESPACE
+from semcat.operators.embed import Embedder, hashing_embedder
+from semcat.operators.render import call_cards, dump_cards
+from semcat.operators.results import FacetFilter
+from semcat.plans import ingest, search
+from semcat.plans.sync import SyncStats, sync
+from semcat.schema import ORDER_COLUMN
+from semcat.sources.store import VectorStore
+from semcat.streaming.refresh import calls_stream, refresh_stream
+
+LONG = "a description that is long enough to stay"
+
+
+def item(number, status="31094501", language="en", call=None, text=LONG, keywords=("energy", "Energy")):
+    return {
+        "language": language, "summary": f"<b>summary</b> {number}",
+        "metadata": {
+            "identifier": [f"ID-{number}"], "status": {"id": status}, "title": [f" Title {number} "], "callIdentifier": call,
+            "startDate": ["2024-05-01T17:00:00.000+0200"], "descriptionByte": f"<p>{text} {number}</p>", "keywords": list(keywords),
+        },
+    }
+
+
+def land(folder, pages):
+    folder.mkdir(exist_ok=True)
+    for number, items in pages.items():
+        (folder / f"page-{number}.json").write_text(json.dumps({"results": items}), encoding="utf-8")
+    return str(folder)
+
+
+def uuid5(name):
+    return str(uuid.uuid5(uuid.UUID(NAMESPACE), name))
+
+
+def test_pages_to_results(spark, tmp_path):
+    pages = land(
+        tmp_path / "pages",
+        {
+            1: [item(1), item(2, status="31094503"), item(3, status="1"), item(4, language="de")],
+            2: [item(5, call="CALL"), item(6, call="CALL"), item(7, text="no"), item(8, keywords=["ID-8"])],
+            3: [],
+            4: [item(9)],
+        },
+    )
+    out = str(tmp_path / "out")
+    ingest.ingest_pages(spark, pages, str(tmp_path / "cache"), "b1", out)
+    stored = spark.read.parquet(f"{out}/uuid")
+    rows = {r["id_url"]: r for r in stored.collect()}
+    assert sorted(rows) == ["ID-1", "ID-2", "ID-5", "ID-6"]
+    assert rows["ID-1"]["uuid"] == uuid5("ID-1") and rows["ID-5"]["uuid"] == rows["ID-6"]["uuid"] == uuid5("CALL")
+    assert rows["ID-1"]["description"] == f"summary 1\n\n{LONG} 1" and rows["ID-1"]["legal_basis"] == "N/A"
+    assert rows["ID-1"]["date_1"] == dt.datetime(2024, 5, 1, 17) and rows["ID-1"]["date_2"] is None
+    assert "uuid_source_call_id" not in stored.columns
+    assert "uuid" not in spark.read.parquet(f"{out}/cleaned").columns
+    assert [r["value"] for r in spark.read.text(f"{out}/facets/eu_funding_area.txt").collect()] == ["Energy"]
+
+    # Closed calls are withdrawn; two topics share one id and the later one stays.
+    embedder = hashing_embedder(32)
+    store = VectorStore.open(spark, str(tmp_path / "store"), embedder.name, 32)
+    stats = sync(stored, store, embedder)
+    assert stats == SyncStats(deleted=0, new_rows=3, embedded_programmes=2, embedded_chunks=2, duplicate_uuids=1)
+    assert sync(stored, store, embedder) == SyncStats()
+    assert sorted(r["id_url"] for r in store.payload().collect()) == ["ID-1", "ID-6"]
+
+    queries = spark.createDataFrame([("q1", f"summary 6 {LONG} 6"), ("q2", "")], "qid string, text string")
+    results = search.search(queries, store, embedder, 20, FacetFilter(funding_area=["Energy"]))
+    got = results.orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["project_id"]) for r in got] == [("q1", "ID-6"), ("q1", "ID-1")]
+    card = call_cards(results).orderBy("rank").first()
+    assert card["heading"].startswith("[Title 6](http") and card["planned_opening_date"] == "01 May 2024, 17:00"
+    assert card["deadline"] is None and card["score"].endswith(" %")
+    assert dump_cards(results).first()["on_website_since"] is None
+    with pytest.raises(ValueError, match="not hashing-8"):
+        search.search(queries, store, hashing_embedder(8))
+
+    # The next refresh withdraws one call.
+    ingest.ingest_pages(spark, land(tmp_path / "later", {1: [item(1, status="31094503")]}), str(tmp_path / "cache"), "b2", out)
+    assert sync(spark.read.parquet(f"{out}/uuid"), store, embedder) == SyncStats(deleted=1)
+    assert [r["id_url"] for r in store.payload().collect()] == ["ID-6"]
+
+
+def test_dump_to_table(spark, tmp_path):
+    rows = [
+        {
+            "id_hash": f"h{i}", "id_url": f"u{i}", "url": " w ", "title": "T", "funding_area": ["Öko", "oeko"], "funding_type": ["Zuschuss"],
+            "funding_location": [], "eligible_applicants": None, "description": f"<h3>Kurztext</h3><p>k{i}</p><h3>Volltext</h3><p>v{i}</p>",
+            "on_website_from": dt.datetime(2024, 1, 1), "last_updated": dt.datetime(2024, 1, 2), "deleted": i == 0,
+        }
+        for i in range(3)
+    ]
+    strings, lists = T.StringType(), T.ArrayType(T.StringType())
+    kinds = {"funding_area": lists, "funding_type": lists, "funding_location": lists, "eligible_applicants": lists,
+             "on_website_from": T.TimestampNTZType(), "last_updated": T.TimestampNTZType(), "deleted": T.BooleanType()}
+    schema = T.StructType([T.StructField(n, kinds.get(n, strings)) for n in rows[0]])
+    typed = pa.schema([(n, pa.list_(pa.string()) if kinds.get(n) is lists else None) for n in rows[0] if kinds.get(n) is lists])
+    table = pa.Table.from_pylist(rows)
+    for field in typed:
+        table = table.set_column(table.schema.get_field_index(field.name), field, table[field.name].cast(field.type))
+    pq.write_table(table, tmp_path / "d.parquet")
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.write(tmp_path / "d.parquet", "data.parquet")
+    out = str(tmp_path / "out")
+    ingest.ingest_dump(spark, str(tmp_path / "d.zip"), schema, out)
+    got = spark.read.parquet(f"{out}/uuid").orderBy(ORDER_COLUMN).collect()
+    assert [(r["project_short_description"], r["project_full_description"], r["url"], r["deleted"]) for r in got] == [
+        ("k0", "v0", "w", True), ("k1", "v1", "w", False), ("k2", "v2", "w", False),
+    ]
+    assert got[0]["uuid"] == uuid5("h0") and got[0]["date_1"] == dt.datetime(2024, 1, 1) and got[0]["eligible_applicants"] is None
+    area = [r["value"] for r in spark.read.text(f"{out}/facets/german_funding_area.txt").collect()]
+    assert area == ["Öko"] and spark.read.text(f"{out}/facets/german_eligible_applicants.txt").count() == 0
+
+
+PROGRAMMES = "uuid string, description string, deleted boolean, row_order long, id_url string"
+
+
+def programme_rows(spark, rows):
+    return spark.createDataFrame([(u, d, x, n, u) for n, (u, d, x) in enumerate(rows)], PROGRAMMES)
+
+
+def words(n, word="w"):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+def test_sync_keeps_all_or_last_chunks(spark, tmp_path):
+    embedder = hashing_embedder(8)
+    rows = programme_rows(spark, [("a", words(25), False), ("b", " \n", False), ("c", words(5), None), ("d", None, False)])
+    for keep, expected in (("all", [0, 1, 2]), ("last", [2])):
+        store = VectorStore.open(spark, str(tmp_path / keep), embedder.name, 8)
+        stats = sync(rows, store, embedder, keep=keep, window=10, overlap=2)
+        assert sorted((r["uuid"], r["chunk_no"]) for r in store.points().collect()) == [("a", n) for n in expected]
+        assert stats.new_rows == 3 and stats.embedded_programmes == 1
+        assert [r["uuid"] for r in store.payload().collect()] == ["a"]
+
+
+def test_sync_duplicates_last_row_wins(spark, tmp_path):
+    embedder = hashing_embedder(8)
+    store = VectorStore.open(spark, str(tmp_path), embedder.name, 8)
+    rows = programme_rows(spark, [("a", words(3), False)] + [("hot", words(30 - n), False) for n in range(20)] + [("hot", "", False)])
+    stats = sync(rows, store, embedder, window=10, overlap=0)
+    assert stats.duplicate_uuids == 20
+    assert sorted((r["uuid"], r["chunk_no"]) for r in store.points().collect()) == [("a", 0), ("hot", 0), ("hot", 1)]
+    assert [r["row_order"] for r in store.payload().orderBy("uuid").collect()] == [1 - 1, 20]
+
+
+def test_withdrawn_and_active_is_deleted_and_added_again(spark, tmp_path):
+    embedder = hashing_embedder(8)
+    store = VectorStore.open(spark, str(tmp_path), embedder.name, 8)
+    rows = programme_rows(spark, [("a", "x", True), ("a", "y", False)])
+    assert sync(rows, store, embedder).new_rows == 1
+    assert sync(rows, store, embedder) == SyncStats(1, 1, 1, 1, 0)
+    assert store.points().count() == 1 and store.payload().count() == 1
+
+
+def test_failed_programmes_are_tried_again(spark, tmp_path):
+    class Flaky:
+        def embed(self, texts):
+            return [None if "bad" in t else [1.0, 0.0] for t in texts]
+
+    class Sound:
+        def embed(self, texts):
+            return np.ones((len(texts), 2))
+
+    rows = programme_rows(spark, [("a", "good", False), ("b", "bad", False)])
+    store = VectorStore.open(spark, str(tmp_path), "m", 2)
+    assert sync(rows, store, Embedder("m", 2, Flaky)).embedded_programmes == 1
+    assert [r["uuid"] for r in store.payload().collect()] == ["a"]
+    assert sync(rows, store, Embedder("m", 2, Sound)).new_rows == 1
+    assert sorted(r["uuid"] for r in store.payload().collect()) == ["a", "b"]
+
+
+def test_batch_is_applied_once_and_store_is_folded(spark, tmp_path):
+    embedder = hashing_embedder(8)
+    store = VectorStore.open(spark, str(tmp_path), embedder.name, 8)
+    rows = programme_rows(spark, [("a", "x", False)])
+    assert sync(rows, store, embedder, batch="b1").new_rows == 1
+    other = programme_rows(spark, [("b", "x", False)])
+    assert sync(other, store, embedder, batch="b1") == SyncStats()
+    assert sync(other, store, embedder, batch="b2", compact_after=2).new_rows == 1
+    assert len(store.commits()) == 1 and store.has_batch("b1")
+    assert sorted(r["uuid"] for r in store.ids().collect()) == ["a", "b"]
+
+
+def test_stream_of_two_files_equals_one_batch(spark, tmp_path):
+    embedder = hashing_embedder(8)
+    first = programme_rows(spark, [("a", words(30), False), ("b", words(5), True), ("c", words(12), False)])
+    second = programme_rows(spark, [("c", words(3), True), ("d", words(9), False)])
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    store = VectorStore.open(spark, root, embedder.name, 8)
+    options = {"window": 10, "overlap": 2}
+
+    def run():
+        refresh_stream(spark, landed, first.schema, store, embedder, str(tmp_path / "cp"), 1, **options).awaitTermination()
+
+    first.coalesce(1).write.mode("append").parquet(landed)
+    run()
+    assert sorted(r["uuid"] for r in store.ids().collect()) == ["a", "c"]
+    second.coalesce(1).write.mode("append").parquet(landed)
+    run()
+    run()
+    batch = VectorStore.open(spark, str(tmp_path / "batch"), embedder.name, 8)
+    for rows in (first, second):
+        sync(rows, batch, embedder, **options)
+    key = lambda s: sorted((r["uuid"], r["chunk_no"], tuple(r["vector"])) for r in s.points().collect())
+    assert key(store) == key(batch) and {u for u, *_ in key(store)} == {"a", "d"}
+    assert len(store.commits()) == 3
+
+
+def test_stream_of_pages(spark, tmp_path):
+    pages = land(tmp_path / "pages", {1: [item(1), item(2, status="9")], 2: [item(3, language="de"), item(4)]})
+    for _ in range(2):
+        calls_stream(spark, pages, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["id"] for r in got.collect()) == ["ID-1", "ID-4"]
+
+
+def test_query_validation(spark):
+    frame = spark.createDataFrame([("a", ""), ("b", None), ("c", "x" * 6000), ("d", " ")], "qid string, text string")
+    assert {r["qid"]: len(r["text"]) for r in search.valid_queries(frame).collect()} == {"c": 5000, "d": 1}
+    assert search.check_limit(20) == 20
+    for bad in (0, 4, 12, 55):
+        with pytest.raises(ValueError):
+            search.check_limit(bad)
+
+
+def test_limit_counts_hits_before_filters(spark):
+    points = spark.createDataFrame(
+        [("a", 0, [1.0, 0.0]), ("a", 1, [0.9, 0.1]), ("b", 0, [0.5, 0.5])], "uuid string, chunk_no int, vector array<float>"
+    )
+    payload = spark.createDataFrame(
+        [(u, u.upper(), u, "s", "f", None, None, "w", [], [u], [u], []) for u in "ab"],
+        "uuid string, id_url string, title string, project_short_description string, project_full_description string, "
+        "date_1 timestamp_ntz, date_2 timestamp_ntz, url string, funding_type array<string>, funding_area array<string>, "
+        "funding_location array<string>, eligible_applicants array<string>",
+    )
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, vector array<float>")
+
+    def ids(k, **filters):
+        found = search.search_vectors(queries, points, payload, k, FacetFilter(**filters))
+        return [r["project_id"] for r in found.orderBy("rank").collect()]
+
+    assert ids(2) == ["A"] and ids(3) == ["A", "B"] and ids(2, locations=["b"]) == []
+    hook = search.search_vectors(queries, points, payload, 3, hook=lambda df: df.filter(F.col("rank") > 1))
+    assert [r["project_id"] for r in hook.collect()] == ["B"]
