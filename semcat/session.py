@@ -46,6 +46,7 @@ def spread(df: DataFrame) -> DataFrame:
     at scale nothing is shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(df.inputFiles()) < cores:
+    # The count only: the names of a million files would all come to Python.
+    if 0 < len(df._jdf.inputFiles()) < cores:
         return df.repartition(cores)
     return df
