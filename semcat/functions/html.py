@@ -174,11 +174,12 @@ def with_html_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add or replace ``target: source`` columns by the text of the source.
 
     The values travel as one array, so a table with many string columns still
-    has one expression per step.  Narrow steps (flatten, parse what is left,
-    decode) keep each from being computed once per reference.
+    has one expression per step.  Separate steps keep each from being computed
+    once per reference.  The parser comes last: a filter on the result stops
+    above it, where only the choice between two finished texts is left.
     """
     targets = list(columns)
-    values, flat, left, hard, text = "__values", "__flat", "__left", "__hard", "__text"
+    values, flat, left, native, hard = "__values", "__flat", "__left", "__native", "__hard"
     c = F.col
 
     steps = spread(df).select("*", F.array(*[or_missing(c(s)) for s in columns.values()]).alias(values))
@@ -191,19 +192,22 @@ def with_html_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     steps = steps.select(
         "*", F.zip_with(values, flat, lambda v, f: F.when(_needs_parser(f, v), v)).alias(left)
     )
-    steps = steps.select(
-        "*", _hard_html_udf()(F.when(F.exists(left, F.isnotnull), c(left))).alias(hard)
-    )
     steps = steps.select(
         "*",
         F.transform(
             flat,
-            lambda f, i: F.coalesce(
-                F.get(hard, i), F.when(f.isNotNull(), _join_nodes(f)).otherwise(py_strip(F.get(values, i)))
+            lambda f, i: F.when(f.isNull(), py_strip(F.get(values, i))).when(
+                F.get(left, i).isNull(), _join_nodes(f)
             ),
-        ).alias(text),
+        ).alias(native),
+    )
+    steps = steps.select(
+        "*", _hard_html_udf()(F.when(F.exists(left, F.isnotnull), c(left))).alias(hard)
     )
-    cleaned = {t: F.get(text, i).alias(t) for i, t in enumerate(targets)}
+    cleaned = {
+        t: F.coalesce(F.get(native, F.lit(i)), F.get(hard, F.lit(i))).alias(t)
+        for i, t in enumerate(targets)
+    }
     kept = [cleaned.get(name, c(name)) for name in df.columns]
     return steps.select(*kept, *[cleaned[t] for t in targets if t not in df.columns])
 

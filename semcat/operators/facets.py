@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semcat.functions.facet import UNKNOWN, facet_invalid, facet_key, facet_score
+from semcat.functions.facet import UNKNOWN, facet_invalid, facet_key, facet_score, key_of
 from semcat.functions.text import py_strip
 from semcat.schema import FACET_COLUMNS, ORDER_COLUMN
 
@@ -40,35 +40,31 @@ def facet_values(
 ) -> DataFrame:
     """(column, value) of every facet, spellings folded, "Unknown" for junk.
 
-    Equal values collapse in a hash aggregate on fixed-width buffers before
+    Equal values collapse in a hash aggregate on a fixed-width buffer before
     anything is shuffled, so a value that fills a third of the table costs one
     row per task; key and score are computed for distinct values only.
     """
     columns = tuple(columns) or FACET_COLUMNS
+    c = F.col
+    # Row and list position as one number: earlier is smaller.
+    place = c("ord").cast("decimal(38,0)") * F.lit(1 << 31) + c("pos")
     first_seen = (
         exploded_values(df, columns, order_column)
-        .groupBy("column", "value", "pos")
-        .agg(F.min("ord").alias("ord"))
+        .select("column", "value", place.cast("decimal(38,0)").alias("place"))
         .groupBy("column", "value")
-        .agg(F.min(F.struct("ord", "pos")).alias("seen"))
+        .agg(F.min("place").alias("place"))
     )
-    keyed = first_seen.withColumn("key", facet_key(F.col("value"))).withColumn(
-        "invalid", facet_invalid(F.col("value"), F.col("key"))
+    keyed = first_seen.withColumn("key", facet_key(c("value"))).withColumn(
+        "valid", ~facet_invalid(c("value"), c("key"))
     )
-    # Junk values share one group; the fallback row comes out of the same
-    # aggregate as the representatives.
-    grouped = keyed.select(
-        "column",
-        F.when(~F.col("invalid"), F.col("key")).alias("key"),
-        "value",
-        F.struct(
-            facet_score(F.col("value")).alias("score"),
-            (-F.col("seen.ord")).alias("earlier"),
-            (-F.col("seen.pos")).alias("leftmost"),
-        ).alias("rank"),
+    # Junk joins the group of the value that stands for it, without a say in
+    # which spelling represents that group.
+    rank = F.struct(facet_score(c("value")).alias("score"), (-c("place")).alias("earlier"))
+    best = keyed.groupBy(
+        "column", F.when(c("valid"), c("key")).otherwise(F.lit(key_of(UNKNOWN))).alias("key")
+    ).agg(
+        F.max_by(F.when(c("valid"), c("value")), F.when(c("valid"), rank)).alias("value"),
+        F.bool_or(~c("valid")).alias("junk"),
     )
-    best = grouped.groupBy("column", "key").agg(F.max_by("value", "rank").alias("value"))
-    return best.select(
-        "column",
-        F.when(F.col("key").isNull(), F.lit(UNKNOWN)).otherwise(py_strip(F.col("value"))).alias("value"),
-    ).distinct()
+    shown = F.array(py_strip(c("value")), F.when(c("junk"), F.lit(UNKNOWN)))
+    return best.select("column", F.explode(F.array_distinct(F.array_compact(shown))).alias("value"))

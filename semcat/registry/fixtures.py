@@ -27,21 +27,27 @@ def doc_uuid(key) -> F.Column:
     return uuid5(key.cast("string"))
 
 
-def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with the programme columns the jobs read."""
+def programmes(spark: SparkSession, sf_dir: str, dated: bool = False) -> DataFrame:
+    """``documents`` with the programme columns the jobs read.
+
+    ``dated`` looks the two dates up in ``orders`` and ``events``.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("date_1")
-    )
-    events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("doc_id"), F.col("ts").alias("date_2")
-    )
+    rows = docs.join(labels, "doc_id", "left")
+    if dated:
+        orders = table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("date_1")
+        )
+        events = table(spark, sf_dir, "events").select(
+            F.col("event_id").alias("doc_id"), F.col("ts").alias("date_2")
+        )
+        rows = rows.join(orders, "doc_id", "left").join(events, "doc_id", "left")
+    else:
+        unknown = F.lit(None).cast("timestamp_ntz")
+        rows = rows.withColumns({"date_1": unknown, "date_2": unknown})
     c = F.col
     return (
-        docs.join(labels, "doc_id", "left")
-        .join(orders, "doc_id", "left")
-        .join(events, "doc_id", "left")
-        .select(
+        rows.select(
             c("doc_id").alias(ORDER_COLUMN),
             doc_uuid(c("doc_id")).alias("uuid"),
             F.when(c("quality") == 0, F.lit("N/A"))

@@ -40,7 +40,7 @@ from semcat.registry.fixtures import (
     zipped_documents,
 )
 from semcat.schema import ORDER_COLUMN, PROGRAMME_SCHEMA, conform
-from semcat.session import work_dir
+from semcat.session import work_dir, written
 from semcat.sources import catalogue, pages, snapshots
 from semcat.sources.store import VectorStore
 from semcat.streaming.refresh import calls_stream, refresh_stream
@@ -378,7 +378,7 @@ def q_zip_scan(spark, sf):
 def q_ingest_dump(spark, sf):
     """Documents as a dump, cleaned, given ids and stored."""
     root = work_dir(spark, "dump")
-    dump = programmes(spark, sf).drop("uuid", "project_short_description", "project_full_description")
+    dump = programmes(spark, sf, dated=True).drop("uuid", "project_short_description", "project_full_description")
     dump = dump.withColumnsRenamed({"date_1": "on_website_from", "date_2": "last_updated"}).withColumn(
         "id_hash", F.md5(c("url"))
     )
@@ -467,7 +467,7 @@ def q_remaining(spark, sf):
 @query
 def q_new_rows(spark, sf):
     rows = programmes(spark, sf)
-    ids = diff.new_ids(rows, diff.remaining_ids(stored_ids(spark, sf), rows))
+    ids = written(diff.new_ids(rows, diff.remaining_ids(stored_ids(spark, sf), rows)), "fresh")
     return diff.new_active_rows(rows, ids).select("uuid", "description")
 
 
@@ -597,15 +597,14 @@ def q_collapse_again(spark, sf):
     return _shown(results.collapse_again(_collapsed(spark, sf).withColumn("project_id", merged)))
 
 
-def _search(spark, sf, filters=FILTERS):
-    return search.search_vectors(
-        vector_queries(spark, sf), stored_points(spark, sf), programmes(spark, sf), K, filters
-    )
+def _search(spark, sf, filters=None, dated=False):
+    rows = programmes(spark, sf, dated)
+    return search.search_vectors(vector_queries(spark, sf), stored_points(spark, sf), rows, K, filters)
 
 
 @query
 def q_search_filtered(spark, sf):
-    return _search(spark, sf).select(
+    return _search(spark, sf, FILTERS).select(
         "qid", c("rank").cast("long").alias("rank"), "project_id", "project_title", piped("funding_area"),
         F.round("matching_score", 5).alias("matching_score"),
     )
@@ -613,12 +612,12 @@ def q_search_filtered(spark, sf):
 
 @query
 def q_render(spark, sf):
-    return render.dump_cards(_search(spark, sf, None)).withColumn("rank", c("rank").cast("long"))
+    return render.dump_cards(_search(spark, sf, dated=True)).withColumn("rank", c("rank").cast("long"))
 
 
 @query
 def q_render_calls(spark, sf):
-    return render.call_cards(_search(spark, sf, None)).withColumn("rank", c("rank").cast("long"))
+    return render.call_cards(_search(spark, sf, dated=True)).withColumn("rank", c("rank").cast("long"))
 
 
 @query
