@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semcat.functions.ids import uuid5
 from semcat.schema import ORDER_COLUMN
@@ -19,8 +20,15 @@ DIM = 64  # vector size of the embeddings table
 EVENTS_PER_PAGE = 25
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    # A known schema saves a job that reads footers.
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def doc_uuid(key) -> F.Column:
@@ -165,3 +173,13 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return docs.mapInArrow(archives, "path string, content binary, position long")
+
+
+class CharacterCodec:
+    """Tokens are code points."""
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(ord, text))
+
+    def decode(self, tokens: list[int]) -> str:
+        return "".join(map(chr, tokens))

@@ -235,11 +235,15 @@ FROM calls WHERE length(full_text) >= 25""",
 FROM items WHERE {_CALL_KEPT} GROUP BY status""",
     "q_zip_scan": "SELECT doc_id, lang, source, text FROM documents",
     "q_ingest_dump": f"""WITH {_PROGRAMMES} SELECT {uuid5("md5(url)")} AS uuid, md5(url) AS id_hash, {strip("title")} AS title,
-  {strip("description")} AS description, 'N/A' AS project_short_description, {stamp("date_1")} AS date_1, deleted FROM prog""",
+  {strip("description")} AS description, 'N/A' AS project_short_description, {stamp("date_1")} AS date_1,
+  coalesce(CAST(deleted AS VARCHAR), 'unknown') AS deleted FROM prog""",
     "q_facets": _facets("SELECT 'p_name' AS col, p_partkey AS ord, 0 AS pos, p_name AS v FROM part"),
     "q_facets_multi": _facets(_VARIANTS),
     "q_facet_options": "SELECT value FROM (" + _facets(_SPELLINGS) + ")",
     "q_chunks": f"""WITH {_WINDOWS} SELECT doc_id, chunk_no, array_to_string(w, ' ') AS chunk_text FROM chunk""",
+    "q_chunks_codec": f"""WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+cuts AS (SELECT *, unnest({_STARTS.format(w=1000, s=900).replace("len(t)", "n")}) AS s FROM texts)
+SELECT doc_id, s // 900 AS chunk_no, substr(text, s + 1, 1000) AS chunk_text FROM cuts""",
     "q_chunk_counts": f"""WITH {_TOKENS} SELECT doc_id, CAST(CASE WHEN len(t) = 0 THEN 0 ELSE len({_STARTS.format(w=50, s=30)}) END AS BIGINT) AS n_chunks FROM toks""",
     "q_embed_hash": f"""WITH {_WINDOWS},
 words AS (SELECT doc_id, chunk_no, CAST('0x' || substr(md5(lower(unnest(w))), 1, 8) AS BIGINT) AS code FROM chunk),
@@ -257,6 +261,11 @@ UNION ALL SELECT uuid, 7, 1.0 FROM docs""",
     "q_sync": f"""WITH {_REMAINING}, toks AS (SELECT uuid, regexp_extract_all(description, {_WORD}) AS t FROM fresh)
 SELECT uuid, CAST(len({_STARTS.format(w=384, s=288)}) AS BIGINT) AS n_points FROM toks WHERE len(t) > 0
 UNION ALL SELECT uuid, 1 FROM remaining""",
+    "q_sync_stats": f"""WITH {_REMAINING}, toks AS (SELECT uuid, regexp_extract_all(description, {_WORD}) AS t FROM fresh),
+cut AS (SELECT uuid, CAST(len({_STARTS.format(w=384, s=288)}) AS BIGINT) AS n FROM toks WHERE len(t) > 0)
+SELECT (SELECT count(*) FROM existing WHERE uuid IN (SELECT uuid FROM gone)) AS deleted,
+  2 * (SELECT count(*) FROM fresh) AS new_rows, (SELECT count(*) FROM cut) AS embedded_programmes,
+  CAST((SELECT coalesce(sum(n), 0) FROM cut) AS BIGINT) AS embedded_chunks, (SELECT count(*) FROM fresh) AS duplicate_uuids""",
     "q_stream_refresh": f"WITH {_PROGRAMMES} SELECT uuid, description FROM prog WHERE NOT deleted AND regexp_matches(description, '\\S')",
     "q_search_text": f"""WITH {_PROGRAMMES},
 toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT coalesce(deleted, false)),
@@ -306,6 +315,9 @@ SELECT qid, rank, project_id, m.title AS project_title, array_to_string(m.fundin
 WHERE len(list_intersect(m.funding_location, ['en', 'fr', 'de'])) > 0
   AND len(list_intersect(m.funding_area, ['en', 'src1', 'src2', 'de'])) > 0
   AND NOT (m.short_description = 'N/A' AND m.full_description = 'N/A')""",
+    "q_search_by_key": f"""WITH {_SEARCH}
+SELECT qid, rank, project_id, upper(m.funding_location[1][1]) || m.funding_location[1][2:] AS funding_location FROM results
+WHERE len(list_intersect(m.funding_location, ['en', 'fr'])) > 0""",
     "q_render": f"""WITH {_SEARCH}
 SELECT qid, rank, {_HEADING} AS heading, m.short_description AS short_description, m.full_description AS full_description,
   CASE WHEN {_BOTH} THEN strftime(m.date_1, {_SHOWN}) END AS on_website_since,

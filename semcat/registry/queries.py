@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from semcat.plans import ingest, search
 from semcat.plans.sync import sync
 from semcat.registry.fixtures import (
     DIM,
+    CharacterCodec,
     doc_uuid,
     event_pages,
     programmes,
@@ -386,7 +388,8 @@ def q_ingest_dump(spark, sf):
         normalise.dump_to_programmes(dump), f"{root}/cleaned", f"{root}/uuid", "id_hash", f"{root}/facets"
     )
     return spark.read.parquet(f"{root}/uuid").select(
-        "uuid", "id_hash", "title", "description", "project_short_description", stamp(c("date_1")).alias("date_1"), "deleted"
+        "uuid", "id_hash", "title", "description", "project_short_description", stamp(c("date_1")).alias("date_1"),
+        F.coalesce(c("deleted").cast("string"), lit("unknown")).alias("deleted"),
     )
 
 
@@ -431,6 +434,14 @@ def q_chunks(spark, sf):
     )
 
 
+@query
+def q_chunks_codec(spark, sf):
+    """Windows over the tokens of a codec that runs in Python."""
+    tokenizer = chunk.CodecTokenizer(CharacterCodec)
+    cut = chunk.chunks(table(spark, sf, "documents"), "text", tokenizer, 1000, 100, keep=("doc_id",))
+    return cut.select("doc_id", c("chunk_no").cast("long").alias("chunk_no"), "chunk_text")
+
+
 @query
 def q_chunk_counts(spark, sf):
     n = F.size(chunk.windows(chunk.WordTokenizer().encode(c("text")), 50, 20))
@@ -515,6 +526,18 @@ def q_sync(spark, sf):
     return store.points().groupBy("uuid").agg(F.count(lit(1)).alias("n_points"))
 
 
+@query
+def q_sync_stats(spark, sf):
+    """The counts a refresh reports; every document comes twice."""
+    embedder = embed.hashing_embedder(DIM)
+    store = VectorStore.open(spark, work_dir(spark, "store"), embedder.name, DIM)
+    points = stored_points(spark, sf)
+    store.upsert(points, points.select("uuid"))
+    rows = programmes(spark, sf)
+    again = rows.withColumn(ORDER_COLUMN, -c(ORDER_COLUMN) - 1)
+    return spark.createDataFrame([asdict(sync(rows.unionByName(again), store, embedder))])
+
+
 @query
 def q_stream_refresh(spark, sf):
     """Programme files arriving as a stream; the store must end up with all new rows."""
@@ -610,6 +633,18 @@ def q_search_filtered(spark, sf):
     )
 
 
+@query
+def q_search_by_key(spark, sf):
+    """Filters that match every spelling behind a facet value."""
+    filters = results.FacetFilter(locations=(" EN ", "Fr"), drop_na=False)
+    rows = programmes(spark, sf).withColumn("funding_location", F.array(F.initcap(c("funding_location")[0])))
+    found = search.search_vectors(
+        vector_queries(spark, sf), stored_points(spark, sf),
+        rows, K, filters, match="key",
+    )
+    return found.select("qid", c("rank").cast("long").alias("rank"), "project_id", piped("funding_location"))
+
+
 @query
 def q_render(spark, sf):
     return render.dump_cards(_search(spark, sf, dated=True)).withColumn("rank", c("rank").cast("long"))

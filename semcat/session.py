@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lookups of up to this many ids reach the Parquet scan as they are.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     # Recording a call site per column operation doubles the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

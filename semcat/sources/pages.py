@@ -39,8 +39,12 @@ def _pages(texts: DataFrame, per_line: bool) -> DataFrame:
 
 
 def _results(body: Column) -> Column:
-    """Items as JSON texts; a page without results is an empty page."""
-    items = F.from_json(body, "results array<string>").getField("results")
+    """Items as JSON texts; a page without results is an empty page.
+
+    A page that is no JSON document is an error, as it would end the result.
+    """
+    parsed = F.from_json(body, "results array<string>", {"mode": "FAILFAST"})
+    items = parsed.getField("results")
     return F.coalesce(items, F.array().cast("array<string>"))
 
 

@@ -67,6 +67,12 @@ def test_page_without_results_is_empty(spark, tmp_path):
     assert item_ids(pages.before_first_empty(parsed)) == ["a"]
 
 
+def test_broken_page_is_an_error(spark, tmp_path):
+    parsed = landed(spark, tmp_path, {1: page_body("a"), 2: '{"results": ['})
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        item_ids(pages.before_first_empty(parsed))
+
+
 def test_no_empty_page_keeps_all(spark, tmp_path):
     parsed = landed(spark, tmp_path, {n: page_body(str(n)) for n in range(1, 4)})
     assert item_ids(pages.before_first_empty(parsed, max_pages=None)) == ["1", "2", "3"]
@@ -165,6 +171,16 @@ def test_store(spark, tmp_path):
     assert sorted(r["uuid"] for r in store.ids().collect()) == ["a", "b", "c"]
 
 
+def test_payload_columns_may_grow(spark, tmp_path):
+    store = VectorStore.open(spark, str(tmp_path), "m", 2)
+    store.upsert(points(spark, ("a", 0, 1)), payload(spark, ("a", "A")))
+    store.upsert(points(spark, ("b", 0, 1)), payload(spark, ("b", "B")).withColumn("more", F.lit(1)))
+    assert sorted(map(tuple, store.payload().collect())) == [("a", "A", None), ("b", "B", 1)]
+    store.upsert(points(spark, ("c", 0, 1)), payload(spark, ("c", "C")).withColumn("more", F.lit("x")))
+    with pytest.raises(ValueError, match="more"):
+        store.payload()
+
+
 def test_uncommitted_parts_do_not_count(spark, tmp_path):
     store = VectorStore.open(spark, str(tmp_path), "m", 2)
     store.write_part("points", store.next_version(), points(spark, ("a", 0, 1)))
