@@ -59,7 +59,7 @@ def facet_values(
     )
     # Junk joins the group of the value that stands for it, without a say in
     # which spelling represents that group.
-    rank = F.struct(facet_score(c("value")).alias("score"), (-c("place")).alias("earlier"))
+    rank = F.struct(facet_score(c("value")).alias("score"), (-c("place")).alias("earlier"), "value")
     best = keyed.groupBy(
         "column", F.when(c("valid"), c("key")).otherwise(F.lit(key_of(UNKNOWN))).alias("key")
     ).agg(

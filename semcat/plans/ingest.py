@@ -17,7 +17,12 @@ from semcat.operators.normalise import (
 )
 from semcat.schema import FACET_COLUMNS
 from semcat.session import work_dir
-from semcat.sources.catalogue import read_archives, write_facets, write_programmes
+from semcat.sources.catalogue import (
+    read_archives,
+    read_programmes,
+    write_facets,
+    write_programmes,
+)
 from semcat.sources.pages import (
     MAX_PAGES,
     before_first_empty,
@@ -48,7 +53,7 @@ def clean_and_store(
     cleaned = clean_programmes(programmes)
     base = work_dir(spark, "cleaned") if source_column in drop else cleaned_path
     write_programmes(cleaned, base)
-    written = spark.read.parquet(base)
+    written = read_programmes(spark, base)
     if base != cleaned_path:
         write_programmes(written, cleaned_path, drop)
     facet_columns = tuple(facet_columns) or FACET_COLUMNS

@@ -42,7 +42,7 @@ from semcat.registry.fixtures import (
     zipped_documents,
 )
 from semcat.schema import ORDER_COLUMN, PROGRAMME_SCHEMA, conform
-from semcat.session import work_dir, written
+from semcat.session import spread, work_dir, written
 from semcat.sources import catalogue, pages, snapshots
 from semcat.sources.store import VectorStore
 from semcat.streaming.refresh import calls_stream, refresh_stream
@@ -169,7 +169,7 @@ def q_json_first(spark, sf):
     nested = F.concat(lit('[null,"",{"label":'), k, lit(',"id":" "}]'))
     listed = F.concat(lit('["a",null,{"code":['), k, lit("]},'' ,\"a\"]"))
     listed = F.replace(listed, lit("''"), lit('""'))
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         "event_id",
         json_first(k).alias("k"),
         json_first(nested).alias("nested"),
@@ -348,7 +348,7 @@ def q_ingest_pages(spark, sf):
         normalise.calls_to_programmes(calls), f"{root}/cleaned", f"{root}/uuid", "uuid_source_call_id",
         f"{root}/facets", ("funding_area",), "eu_", ("uuid_source_call_id",),
     )
-    return spark.read.parquet(f"{root}/uuid").select(
+    return catalogue.read_programmes(spark, f"{root}/uuid").select(
         "uuid", "id_hash", "id_url", "title", "description", "more_info", piped("funding_area"), "deleted",
         "project_short_description", stamp(c("date_1")).alias("date_1"), "checksum",
     )
@@ -387,7 +387,7 @@ def q_ingest_dump(spark, sf):
     ingest.clean_and_store(
         normalise.dump_to_programmes(dump), f"{root}/cleaned", f"{root}/uuid", "id_hash", f"{root}/facets"
     )
-    return spark.read.parquet(f"{root}/uuid").select(
+    return catalogue.read_programmes(spark, f"{root}/uuid").select(
         "uuid", "id_hash", "title", "description", "project_short_description", stamp(c("date_1")).alias("date_1"),
         F.coalesce(c("deleted").cast("string"), lit("unknown")).alias("deleted"),
     )
@@ -444,8 +444,8 @@ def q_chunks_codec(spark, sf):
 
 @query
 def q_chunk_counts(spark, sf):
-    n = F.size(chunk.windows(chunk.WordTokenizer().encode(c("text")), 50, 20))
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(n.cast("long"), lit(0)).alias("n_chunks"))
+    n = chunk.window_count(chunk.WordTokenizer().encode(c("text")), 50, 20)
+    return spread(table(spark, sf, "documents")).select("doc_id", n.cast("long").alias("n_chunks"))
 
 
 @query

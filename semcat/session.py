@@ -56,6 +56,8 @@ def spread(df: DataFrame) -> DataFrame:
     For work that is heavy per row.  A table of many files is left as it is, so
     at scale nothing is shuffled for this.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     # The count only: the names of a million files would all come to Python.
     if 0 < len(df._jdf.inputFiles()) < cores:

@@ -22,7 +22,7 @@ def read_calls(spark: SparkSession, path: str, array_document: bool = False) ->
 
 
 def write_calls(calls: DataFrame, path: str) -> None:
-    calls.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    calls.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
 def latest_good_snapshot(spark: SparkSession, root: str) -> str | None:
@@ -33,12 +33,18 @@ def latest_good_snapshot(spark: SparkSession, root: str) -> str | None:
     return None
 
 
+def _new_attempt(spark: SparkSession, root: str, batch: str) -> str:
+    """A folder of its own for every attempt: no snapshot is ever overwritten."""
+    attempts = [n for n in subfolders(spark, root) if n.rpartition(".")[0] == batch]
+    return f"{root}/{batch}.{len(attempts):04d}"
+
+
 def fresh_or_cached_calls(
     spark: SparkSession, fetch: Callable[[], DataFrame], cache_root: str, batch: str
 ) -> DataFrame:
-    """Calls of a new batch, cached as ``batch``; if it cannot be had, the newest
-    cached ones; if there are none, the error.  Batch names sort by age."""
-    target = f"{cache_root}/{batch}"
+    """Calls of a new batch, cached under its name; if they cannot be had, the
+    newest cached ones; if there are none, the error.  Batch names sort by age."""
+    target = _new_attempt(spark, cache_root, batch)
     try:
         write_calls(fetch(), target)
     except Exception as error:

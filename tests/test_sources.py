@@ -115,6 +115,9 @@ def test_snapshots(spark, tmp_path):
     failing = lambda: calls(spark, "3").withColumn("id", F.raise_error(F.lit("half way")).cast("string"))
     cached = snapshots.fresh_or_cached_calls(spark, failing, root, "b2")
     assert sorted(r["id"] for r in cached.collect()) == ["1", "2"]
+    # The same batch failing again must not harm the good one.
+    rerun = snapshots.fresh_or_cached_calls(spark, failing, root, "b1")
+    assert sorted(r["id"] for r in rerun.collect()) == ["1", "2"]
     again = snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "4"), root, "b3")
     assert [r["id"] for r in again.collect()] == ["4"]
     first = cached.first()
