@@ -27,13 +27,18 @@ def uuid5(x: str) -> str:
 
 
 def html(x: str) -> str:
-    """Text of HTML that has only the entities and raw elements of ``pages``."""
+    """Text of HTML that has only the entities and raw elements of ``pages``.
+
+    A node may end in "&amp" cut off before its semicolon, which still counts.
+    """
     bare = x
     for pattern in ("<!--.*?-->", "<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>"):
         bare = f"regexp_replace({bare}, '{pattern}', '<!>', 'gis')"
     node = "n"
-    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    entities = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "\x01"}
+    for name, ch in entities.items():
         node = f"replace({node}, '&{name};', '{ch}')"
+    node = f"replace(regexp_replace({node}, '&amp$', '&'), '\x01', '&')"
     nodes = f"list_transform(string_split_regex({bare}, '<[^>]*>'), lambda n: {strip(node)})"
     return (
         f"CASE WHEN coalesce({x}, '') = '' THEN 'N/A' "
