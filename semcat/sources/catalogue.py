@@ -27,6 +27,23 @@ def read_programmes(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.parquet(path)
 
 
+def read_ordered(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A programme table with ``row_order``: files by name, then rows as stored.
+
+    The scan gives the place inside a file; the list of files is a small table.
+    """
+    rows = read_programmes(spark, path, schema)
+    names = rows.select(F.col("_metadata.file_path").alias("file")).distinct().collect()
+    files = [(name, position) for position, name in enumerate(sorted(r["file"] for r in names))]
+    positions = spark.createDataFrame(files, "file string, position long")
+    place = F.col("position") * F.lit(_FILE_ROWS) + F.col("row_index")
+    return (
+        rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+        .join(positions, "file")
+        .select(*rows.columns, place.alias(ORDER_COLUMN))
+    )
+
+
 def write_programmes(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     df.drop(*drop).write.mode("overwrite").parquet(path)
 

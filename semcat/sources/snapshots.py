@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,14 +41,21 @@ def _new_attempt(spark: SparkSession, root: str, batch: str) -> str:
 
 
 def fresh_or_cached_calls(
-    spark: SparkSession, fetch: Callable[[], DataFrame], cache_root: str, batch: str
+    spark: SparkSession,
+    fetch: Callable[[], DataFrame],
+    cache_root: str,
+    batch: str,
+    failures: tuple[type[Exception], ...] = (OSError, PySparkException),
 ) -> DataFrame:
     """Calls of a new batch, cached under its name; if they cannot be had, the
-    newest cached ones; if there are none, the error.  Batch names sort by age."""
+    newest cached ones; if there are none, the error.  Batch names sort by age.
+
+    Only ``failures`` mean that the source cannot be had; other errors are bugs.
+    """
     target = _new_attempt(spark, cache_root, batch)
     try:
         write_calls(fetch(), target)
-    except Exception as error:
+    except failures as error:
         cached = latest_good_snapshot(spark, cache_root)
         if cached is None:
             raise

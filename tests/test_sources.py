@@ -33,6 +33,13 @@ def test_archives(spark, tmp_path):
     assert both.first()["tags"] == ["t", None]
 
 
+def test_row_order_of_plain_tables(spark, tmp_path):
+    for name, first in (("b", 10), ("a c", 0)):
+        pq.write_table(pa.Table.from_pylist([{"id_hash": str(first + i)} for i in range(5)]), tmp_path / f"{name}.parquet")
+    rows = catalogue.read_ordered(spark, str(tmp_path)).orderBy(ORDER_COLUMN).collect()
+    assert [r["id_hash"] for r in rows] == [str(i) for i in (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)]
+
+
 def test_archive_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         catalogue.read_archives(spark, str(tmp_path / "none.zip"), DUMP)
@@ -118,6 +125,8 @@ def test_snapshots(spark, tmp_path):
     # The same batch failing again must not harm the good one.
     rerun = snapshots.fresh_or_cached_calls(spark, failing, root, "b1")
     assert sorted(r["id"] for r in rerun.collect()) == ["1", "2"]
+    with pytest.raises(AttributeError):
+        snapshots.fresh_or_cached_calls(spark, lambda: None, root, "b3")
     again = snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "4"), root, "b3")
     assert [r["id"] for r in again.collect()] == ["4"]
     first = cached.first()
