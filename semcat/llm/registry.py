@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semcat.llm.common import remainder
+from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 
 
@@ -17,8 +19,18 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the recurrent network over its bytes."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = fit_tagger(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", found["lang_score"].alias("score"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op5_byte_gru": op5_byte_gru,
 }
 
 ORACLES: dict[str, str] = {}
