@@ -70,9 +70,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each maximal run without white space."""
-    ink = ~_SPACE[data]
+def word_spans(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each maximal run without a byte of ``apart``, white space if not given."""
+    ink = ~apart[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -130,3 +130,36 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hash of each word, with A-Z lower-cased, and its document."""
     start, end, doc = word_spans(data, bounds)
     return span_hashes(lowered(data), start, end), doc
+
+
+class HashIndex:
+    """Places of 64-bit keys in an array of distinct keys: an open-addressing table, looked up in bulk."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
+        self.table = np.full(self.mask + 1, -1, np.int64)
+        left, step = np.arange(len(keys)), 0
+        slot = self._slot(self.keys)
+        while len(left):
+            at = (slot[left] + step) & self.mask
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            left, step = left[self.table[at] != left], step + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        keys = keys.astype(np.uint64, copy=False)
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        slot, left, step = self._slot(keys), np.arange(len(keys)), 0
+        while len(left):
+            place = self.table[(slot[left] + step) & self.mask]
+            hit = (place >= 0) & (self.keys[place] == keys[left])
+            out[left[hit]] = place[hit]
+            left, step = left[(place >= 0) & ~hit], step + 1
+        return out

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semcat.llm.common import remainder
+from semcat.llm.common import remainder, stored
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
+from semcat.llm.quality import document_statistics, fit_quality, score_quality
+from semcat.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +31,35 @@ def op5_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", found["lang_score"].alias("score"))
 
 
+def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One label per document: 1 if any of its rows says so."""
+    return _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(name).alias(name))
+
+
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by two Kneser-Ney models."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    model = fit_toxicity(docs.where(~held_out).join(_labels(spark, sf_dir, "toxic"), "doc_id"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by ridge regression on random Fourier features."""
+    stats = stored(document_statistics(_table(spark, sf_dir, "documents")), "doc_stats")
+    held_out = remainder("doc_id", 4) == 2
+    labels = _labels(spark, sf_dir, "quality").withColumnRenamed("quality", "label")
+    model = fit_quality(stats.where(~held_out).join(labels, "doc_id"))
+    scored = score_quality(stats, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op5_byte_gru": op5_byte_gru,
+    "op8_fourier_quality": op8_fourier_quality,
 }
 
 ORACLES: dict[str, str] = {}
