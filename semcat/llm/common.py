@@ -32,6 +32,18 @@ def remainder(doc_id: str, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def hashed_sample(df: DataFrame, bound: int, salt: str, total: int | None = None) -> DataFrame:
+    """At most ``bound`` rows, those with the smallest hash of doc_id.
+
+    All but about twice the bound are left out before the sort, so that no task
+    sends more than its share.
+    """
+    total = df.count() if total is None else total
+    place = F.xxhash64(F.lit(salt), F.col("doc_id").cast("string"))
+    kept = df.where(F.pmod(place, F.lit(1 << 40)) < int((2 * bound + 100) / max(total, 1) * (1 << 40)))
+    return kept.orderBy(F.pmod(place, F.lit(1 << 40)), *(c for c in df.columns if c == "text")).limit(bound)
+
+
 def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of large strings without nulls."""
     if isinstance(column, pa.ChunkedArray):

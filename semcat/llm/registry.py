@@ -9,6 +9,7 @@ from semcat.llm.common import remainder, stored
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
+from semcat.llm.tokencount import WORD_BPE, count_tokens
 from semcat.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -45,6 +46,14 @@ def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_two_tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, WORD_BPE)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by ridge regression on random Fourier features."""
     stats = stored(document_statistics(_table(spark, sf_dir, "documents")), "doc_stats")
@@ -59,6 +68,7 @@ QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op5_byte_gru": op5_byte_gru,
+    "op6_two_tier_tokens": op6_two_tier_tokens,
     "op8_fourier_quality": op8_fourier_quality,
 }
 

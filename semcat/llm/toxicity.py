@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, slices, span_hashes, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, lowered, mixed, slices, span_hashes, word_spans
 
 TRAIN_DOCS = 3000  # bound of labelled documents of each class that are learned from
 DISCOUNT = 2.0  # taken from every count: an expression that stands in two documents of a class or fewer has no weight of its own
@@ -135,12 +135,12 @@ def fit_toxicity(docs: DataFrame, bound: int = TRAIN_DOCS) -> ClassModels | None
 
     Rows without a label are left out.  None if a class has no document.
     """
-    place = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
-    labelled = docs.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), place.alias("u"))
-
+    place = F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string"))
+    labelled = docs.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), place.alias("u"))
+    counts = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     rows = []
     for label in (0, 1):
-        rows += labelled.where(F.col("toxic") == label).orderBy("u", "text").limit(bound).collect()
+        rows += hashed_sample(labelled.where(F.col("toxic") == label), bound, "toxicity", counts[label]).collect()
     label, turn = np.array([r["toxic"] for r in rows], int), np.array([r["u"] for r in rows], np.int64)
     aside = turn % _CALIBRATE == 0
     if len(np.unique(label[aside])) < 2 or len(np.unique(label[~aside])) < 2:
@@ -158,7 +158,6 @@ def fit_toxicity(docs: DataFrame, bound: int = TRAIN_DOCS) -> ClassModels | None
     y = label[scaled].astype(float)
     model.scale = _logistic(x, y)
     # The classes were drawn by themselves: set the odds back to those of all labelled rows.
-    counts = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     model.prior = counts[1] / max(counts[0] + counts[1], 1)
     model.scale[0] += np.log(max(counts[1], 1) / max(counts[0], 1)) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
     return model
