@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semcat.llm.common import remainder, stored
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
+from semcat.llm.ngramjoin import near_copies
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
 from semcat.llm.tokencount import WORD_BPE, count_tokens
 from semcat.llm.toxicity import fit_toxicity, score_toxicity
@@ -23,6 +24,11 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are similar to 0.85."""
+    return near_copies(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the recurrent network over its bytes."""
     docs = _table(spark, sf_dir, "documents")
@@ -67,6 +73,7 @@ def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
+    "op4_grouped_prefix_join": op4_grouped_prefix_join,
     "op5_byte_gru": op5_byte_gru,
     "op6_two_tier_tokens": op6_two_tier_tokens,
     "op8_fourier_quality": op8_fourier_quality,
