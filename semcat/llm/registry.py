@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.llm.common import remainder, stored
+from semcat.llm.decontaminate import contaminated
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.ngramjoin import near_copies
@@ -60,6 +61,11 @@ def op6_two_tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by ridge regression on random Fourier features."""
     stats = stored(document_statistics(_table(spark, sf_dir, "documents")), "doc_stats")
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_grouped_prefix_join": op4_grouped_prefix_join,
     "op5_byte_gru": op5_byte_gru,
     "op6_two_tier_tokens": op6_two_tier_tokens,
+    "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_fourier_quality": op8_fourier_quality,
 }
 
