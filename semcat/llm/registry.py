@@ -48,7 +48,7 @@ def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by two Kneser-Ney models."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 4) == 2
-    model = fit_toxicity(docs.where(~held_out).join(_labels(spark, sf_dir, "toxic"), "doc_id"))
+    model = fit_toxicity(docs, _labels(spark, sf_dir, "toxic").where(~held_out))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 

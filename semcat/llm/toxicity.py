@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, lowered, mixed, slices, span_hashes, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, lowered, mixed, slices, span_hashes, stored, word_spans
 
 TRAIN_DOCS = 3000  # bound of labelled documents of each class that are learned from
 DISCOUNT = 2.0  # taken from every count: an expression that stands in two documents of a class or fewer has no weight of its own
@@ -130,17 +130,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, bound: int = TRAIN_DOCS) -> ClassModels | None:
-    """Models from doc_id, text, toxic; at most ``bound`` documents of each label, by a hash of the id.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> ClassModels | None:
+    """Models from the texts of docs (doc_id, text) and labels (doc_id, toxic).
 
-    Rows without a label are left out.  None if a class has no document.
+    At most ``bound`` labelled documents of each class are read, by a hash of the
+    id; their ids, not the texts of all documents, are joined.  Rows without a
+    label are left out.  None if a class has no document.
     """
+    labels = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    drawn = [hashed_sample(labels.where(F.col("toxic") == c), bound, "toxicity", counts[c]) for c in (0, 1)]
+    few = stored(drawn[0].unionByName(drawn[1]), "toxicity_labels")
     place = F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string"))
-    labelled = docs.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), place.alias("u"))
-    counts = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    rows = []
-    for label in (0, 1):
-        rows += hashed_sample(labelled.where(F.col("toxic") == label), bound, "toxicity", counts[label]).collect()
+    rows = docs.join(F.broadcast(few), "doc_id").select("text", "toxic", place.alias("u")).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["u"], r["text"] or ""))
     label, turn = np.array([r["toxic"] for r in rows], int), np.array([r["u"] for r in rows], np.int64)
     aside = turn % _CALIBRATE == 0
     if len(np.unique(label[aside])) < 2 or len(np.unique(label[~aside])) < 2:
