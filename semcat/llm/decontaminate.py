@@ -20,7 +20,7 @@ from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sli
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
 LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
 PLACES = 3  # places of the embedding in one key
-RECALL = 0.95  # that the keys reach on edited copies of the items themselves
+RECALL = 0.99  # that the keys reach on edited copies of the items themselves
 MOST_KEYS = 96
 BLOCK_ITEMS = 20_000  # items that one pass over the documents looks for
 
@@ -201,7 +201,7 @@ def matches(matcher: Matcher, words: np.ndarray, bounds: np.ndarray) -> Iterator
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, first_word, item_words of each benchmark item found in a document.
 
-    Words are lower-cased A-Z without punctuation.  An item is found where some
+    Words are lower-cased and without punctuation.  An item is found where some
     part of the whole text is at most EDITS of its words away.  Candidates are
     starts whose next words hold as many word pairs of the benchmark as any match
     must; their keys are looked up among the keys of the items, and what meets is
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     in blocks of about BLOCK_ITEMS, one pass over the documents each.
     """
     spark = docs.sparkSession
-    items = items.select("item_id", "text").where("text is not null")
+    items = items.select("item_id", F.lower("text").alias("text")).where("text is not null")
     n_blocks = -(-items.count() // BLOCK_ITEMS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = []
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                         )
 
         schema = f"doc_id {kind}, item_id long, edits long, first_word long, item_words long"
-        parts.append(docs.select("doc_id", "text").mapInArrow(find, schema))
+        parts.append(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(find, schema))
     if not parts:
         return spark.createDataFrame([], f"doc_id {kind}, item_id long, edits long, first_word long, item_words long")
     found = parts[0]
