@@ -11,6 +11,7 @@ from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.ngramjoin import near_copies
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
+from semcat.llm.suffixdedup import without_repeats
 from semcat.llm.tokencount import WORD_BPE, count_tokens
 from semcat.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -76,6 +77,12 @@ def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings of 100 bytes that stand earlier."""
+    cut = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
@@ -84,6 +91,7 @@ QUERIES = {
     "op6_two_tier_tokens": op6_two_tier_tokens,
     "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_fourier_quality": op8_fourier_quality,
+    "op10_interval_expansion": op10_interval_expansion,
 }
 
 ORACLES: dict[str, str] = {}
