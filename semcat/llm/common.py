@@ -27,6 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+SEND_ROWS = 2_000_000  # ids that are sent whole to all executors; beyond, the join is shuffled
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """A table of ids, written once and marked for sending if it has at most SEND_ROWS rows."""
+    table = stored(ids, "ids")
+    return F.broadcast(table) if table.limit(SEND_ROWS + 1).count() <= SEND_ROWS else table
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, slices, span_hashes, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, slices, span_hashes, word_spans
 
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
 LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
@@ -252,4 +252,4 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, in which no item is found.  Rows with a null id are kept."""
     bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    return docs.join(sent(bad), F.col("doc_id") == F.col("bad_id"), "left_anti")

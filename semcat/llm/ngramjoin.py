@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, slices, stored, words_of
+from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, sent, slices, stored, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
 # the order in which shingles are compared; any order gives the same links.
 SAMPLE_DOCS = 5000
-SEND_ROWS = 2_000_000  # ids that are sent to all executors; beyond, the join is shuffled
 
 
 def _count_needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -119,9 +118,8 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, order, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough, with the sets made anew from the texts."""
     pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.limit(SEND_ROWS + 1).count() <= SEND_ROWS
-    sets = stored(shingle_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), words, order), "sets")
+    wanted = sent(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words, order), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("a_ids"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("b_ids"))
     both = F.size(F.array_intersect("a_ids", "b_ids"))

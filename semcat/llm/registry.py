@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from semcat.llm.common import remainder, stored
 from semcat.llm.decontaminate import contaminated
 from semcat.llm.langid import fit_tagger, identify
@@ -92,6 +93,7 @@ QUERIES = {
     "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_fourier_quality": op8_fourier_quality,
     "op10_interval_expansion": op10_interval_expansion,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
