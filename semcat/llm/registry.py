@@ -10,6 +10,7 @@ from semcat.llm.common import remainder, stored
 from semcat.llm.decontaminate import contaminated
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
+from semcat.llm.neardup import similar_vectors
 from semcat.llm.ngramjoin import near_copies
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
 from semcat.llm.suffixdedup import without_repeats
@@ -78,6 +79,11 @@ def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings with cosine 0.98 or more under one label."""
+    return similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without strings of 100 bytes that stand earlier."""
     cut = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -92,6 +98,7 @@ QUERIES = {
     "op6_two_tier_tokens": op6_two_tier_tokens,
     "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_fourier_quality": op8_fourier_quality,
+    "op9_rotation_codes": op9_rotation_codes,
     "op10_interval_expansion": op10_interval_expansion,
     "pipeline": corpus_pipeline.run,
 }
