@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from semcat.llm.common import remainder, stored
 from semcat.llm.decontaminate import contaminated
+from semcat.llm.katz import katz_scores
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.neardup import similar_vectors
@@ -28,6 +29,14 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a Katz bigram model."""
+    held_out = remainder("doc_id", 5) == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    scored, tokens = katz_scores(docs)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles are similar to 0.85."""
     return near_copies(_table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -93,6 +102,7 @@ def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
+    "op3_katz_backoff": op3_katz_backoff,
     "op4_grouped_prefix_join": op4_grouped_prefix_join,
     "op5_byte_gru": op5_byte_gru,
     "op6_two_tier_tokens": op6_two_tier_tokens,
