@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     in blocks of about BLOCK_ITEMS, one pass over the documents each.
     """
     spark = docs.sparkSession
-    items = items.select("item_id", F.lower("text").alias("text")).where("text is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text is not null")
     n_blocks = -(-items.count() // BLOCK_ITEMS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = []
@@ -251,5 +251,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, in which no item is found.  Rows with a null id are kept."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(sent(bad), F.col("doc_id") == F.col("bad_id"), "left_anti")
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("cd__id")).distinct()
+    return docs.join(sent(bad), F.col("doc_id") == F.col("cd__id"), "left_anti")

@@ -147,7 +147,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     times the context's backoff weight; all words unseen in training are one.
     Counts cover all training rows.  Null and empty texts have one token, the
     end; repeated rows count as often as they stand; without a training row every
-    token has the base's chance and score 0.
+    token is unknown.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()

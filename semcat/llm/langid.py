@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score")
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double"])
-    hidden = "_letters"
+    hidden = "li__letters"
     flagged = docs.withColumn(hidden, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

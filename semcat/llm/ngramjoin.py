@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, sent, slices, stored, words_of
@@ -144,11 +144,11 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     1. Rows with equal sets are one; those with equal prefixes and size are one
        group, named by its smallest doc_id.
-    2. Every group meets the smallest group of each list of a shingle, and every
+    2. Every group meets the most central group of each list of a shingle, and every
        member its group: verified, these links join most of what belongs together.
     3. What is in lists of several components meets all others: group pairs are
-       filtered by size and by shared prefix ids, expanded to members of
-       different components and verified.  So no link between components is lost,
+       filtered by size, by ids that the other cannot have and by what their
+       prefixes share, expanded to members of different components and verified.  So no link between components is lost,
        and no list of near copies is paired with itself.
 
     Null and empty texts, and texts without words, have no set and are alone.
@@ -169,12 +169,23 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     several = groups.where("size > 1")
     member = unique.join(several.select("n_shingles", "ids", "gid"), ["n_shingles", "ids"], "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
     members = stored(member, "members")
-    index = groups.select(F.explode("ids").alias("id"), "gid", "n_shingles", "least")
-    shared = index.groupBy("id").agg(F.min("gid").alias("lead"), F.max("gid").alias("last")).where("lead < last").select("id", "lead")
-    # Lists of one group go; the others are met again in the last step.
-    listed = stored(index.join(shared.hint("shuffle_hash"), "id"), "lists")
+    index = groups.select(F.posexplode("ids").alias("pos", "id"), "gid", "n_shingles", "least", F.size("ids").alias("reach"))
+    shared = index.groupBy("id").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("id")
+    # Lists of one group go.  Ids of a group in front of a shared one that stand in
+    # no other list are in no set that has the shared one: they bound the overlap.
+    own = Window.partitionBy("gid")
+    listed = (
+        index.join(shared.hint("shuffle_hash"), "id")
+        .withColumn("lone", F.col("pos") + 1 - F.row_number().over(own.orderBy("pos")))
+        .withColumn("before", F.lag("id").over(own.orderBy("pos")))
+        .withColumn("all_lone", F.col("reach") - F.count("*").over(own))
+        .drop("pos", "reach")
+    )
+    listed = stored(listed, "lists")
+    # The group with the fewest ids of its own is the likeliest to be near all others.
+    leads = listed.groupBy("id").agg(F.min(F.struct("all_lone", "gid")).alias("lead")).select("id", F.col("lead.gid").alias("lead"))
     sizes = groups.select(F.col("gid").alias("lead"), F.col("n_shingles").alias("l_size"), F.col("least").alias("l_least"))
-    met = listed.where("gid != lead").groupBy("gid", "n_shingles", "least", "lead").count().join(sizes, "lead")
+    met = listed.join(leads, "id").where("gid != lead").groupBy("gid", "n_shingles", "least", "lead").count().join(sizes, "lead")
     near = met.where(_compatible(percent, "n_shingles", "l_size") & (F.col("count") >= F.least("least", "l_least")))
     first = near.select(F.col("lead").alias("a"), F.col("gid").alias("b")).unionByName(
         members.where("doc_id != gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
@@ -185,18 +196,24 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "gid", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     placed = stored(placed, "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    known = listed.select("id", "gid", "n_shingles", "least").join(spans, "gid")
+    known = listed.select("id", "gid", "n_shingles", "lone", "before").join(spans, "gid")
     mixed_lists = known.groupBy("id").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("id")
     open_lists = stored(known.join(mixed_lists.hint("shuffle_hash"), "id"), "open_lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-    pairs = (
-        x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles"))
-        .groupBy(F.col("x.gid").alias("g"), F.col("y.gid").alias("o"), F.least("x.least", "y.least").alias("least"))
-        .count()
-        .where("count >= least")
-        .select("g", "o")
-    )
+    most = F.least(F.col("x.n_shingles") - F.col("x.lone"), F.col("y.n_shingles") - F.col("y.lone"))
+    reachable = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
+    # Where both had the same id before, the pair is met there.
+    opens = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    met = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles") & reachable & opens)
+    met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
+    # Up to the end of the prefix that ends first, the prefixes tell all that is shared.
+    side = {n: groups.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
+    ends = F.element_at("g_ids", -1) <= F.element_at("o_ids", -1)
+    rest = F.when(ends, F.col("g_n_shingles") - F.size("g_ids")).otherwise(F.col("o_n_shingles") - F.size("o_ids"))
+    could = F.size(F.array_intersect("g_ids", "o_ids")) + rest
+    enough = could * (100 + percent) >= (F.col("g_n_shingles") + F.col("o_n_shingles")) * percent
+    pairs = met.join(side["g"], "g").join(side["o"], "o").where(enough).select("g", "o")
     inner = placed.join(several.select("gid"), "gid", "left_semi").select(F.col("gid").alias("g"), F.col("gid").alias("o")).distinct()
     one = placed.select(F.col("gid").alias("g"), F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     two = placed.select(F.col("gid").alias("o"), F.col("doc_id").alias("b"), F.col("root").alias("rb"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import bytes_of, as_texts, mixed, slices, span_hashes, stored
+from semcat.llm.common import as_texts, bytes_of, mixed, slices, span_hashes, stored
 
 LENGTH = 100  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(8, -(-int(total) // BUCKET_BYTES))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             rows = list(_local(batch, length, buckets))
             # Places change slowly from row to row, so their differences pack well.
             columns = {"bucket": pa.array([r["bucket"] for r in rows], pa.int64())}
@@ -311,29 +311,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return within.unionByName(copies).unionByName(found).unionByName(frequent)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of the documents with kept (bytes), n_bytes, n_removed, n_spans.
-
-    A byte goes if a string of ``length`` bytes that covers it also starts
-    earlier: in a document with a smaller doc_id, or before in the same document.
-    Strings are judged on the input, may overlap and never cross documents.
-    Null texts are empty.  Rows that agree in doc_id and text are one document;
-    other rows of one doc_id stand in an order of their texts' hashes; a null
-    doc_id comes last.  Columns of these names are replaced.
-    """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+def _cut(docs: DataFrame, length: int) -> DataFrame:
+    """The documents with sd__kept, sd__bytes, sd__removed, sd__spans."""
     names = docs.columns
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("k"), F.xxhash64("text").alias("t"))
-    spans = repeated_spans(keyed.select("k", "t", "text"), length)
-    spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    spans = spans.select(F.col("k").alias("s_k"), F.col("t").alias("s_t"), "spans")
-    joined = keyed.join(spans, (F.col("k") == F.col("s_k")) & (F.col("t") == F.col("s_t")), "left").drop("k", "t", "s_k", "s_t")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept binary, n_bytes long, n_removed long, n_spans long"])
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("sd__k"), F.xxhash64("text").alias("sd__t"))
+    spans = repeated_spans(keyed.select(F.col("sd__k").alias("k"), F.col("sd__t").alias("t"), "text"), length)
+    spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("sd__all")), "spans")
+    spans = spans.select(F.col("k").alias("sd__k2"), F.col("t").alias("sd__t2"), "sd__all")
+    joined = keyed.join(spans, (F.col("sd__k") == F.col("sd__k2")) & (F.col("sd__t") == F.col("sd__t2")), "left").select(*names, "sd__all")
+    extra = {"sd__kept": "binary", "sd__bytes": "long", "sd__removed": "long", "sd__spans": "long"}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {t}" for n, t in extra.items())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in slices(batch, limit=8 << 20):
-                lists = part.column("spans")
+                lists = part.column("sd__all")
                 inner = lists.flatten()
                 row = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64))
                 d, s, e = _merged(row, inner.field("start").to_numpy(), inner.field("end").to_numpy())
@@ -345,20 +337,33 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept = data[stays].tobytes()
                 pieces = [kept[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist())]
                 size = np.diff(bounds)
-                extra = [pa.array(pieces, pa.binary()), pa.array(size), pa.array(size - np.diff(left)), pa.array(np.bincount(d, minlength=part.num_rows).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                more = [pa.array(pieces, pa.binary()), pa.array(size), pa.array(size - np.diff(left)), pa.array(np.bincount(d, minlength=part.num_rows).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], [*names, *extra])
 
     return joined.mapInArrow(cut, schema)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """All columns of the documents with kept (bytes), n_bytes, n_removed, n_spans.
+
+    A byte goes if a string of ``length`` bytes that covers it also starts
+    earlier: in a document with a smaller doc_id, or before in the same document.
+    Strings are judged on the input, may overlap and never cross documents.
+    Null texts are empty; doc_id is a whole number.  Rows that agree in doc_id and
+    text are one document; other rows of one doc_id stand in an order of their
+    texts' hashes; a null doc_id comes last.  Columns of these names are replaced.
+    """
+    out = {"sd__kept": "kept", "sd__bytes": "n_bytes", "sd__removed": "n_removed", "sd__spans": "n_spans"}
+    return _cut(docs.drop(*out.values()), length).withColumnsRenamed(out)
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with what stays of their texts; what loses every byte goes.
 
     A cut through a character leaves no part of it; texts without a repeat, null
     ones included, stay as they are.
     """
-    cut = without_repeats(docs, length)
-    valid = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.coalesce(valid, F.make_valid_utf8(F.col("kept").cast("string")))).otherwise(F.col("text"))
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(text, "�", "")).otherwise(text)
-    return cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", text).select(*docs.columns)
+    cut = _cut(docs, length)
+    left = F.regexp_replace(F.make_valid_utf8(F.col("sd__kept").cast("string")), "\ufffd", "")
+    text = F.when(F.col("sd__removed") > 0, left).otherwise(F.col("text"))
+    return cut.where("sd__removed = 0 or sd__removed < sd__bytes").withColumn("text", text).select(*docs.columns)
