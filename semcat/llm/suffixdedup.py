@@ -276,8 +276,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = stored(texts.mapInArrow(fetch, "k long, t long, start long, gram long, kind int, piece binary"), "segments")
 
     def transform(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("gram").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
+        names = ("start", "t", "k", "gram")
+        columns = [group.column(n).to_numpy() for n in names]
+        order = np.lexsort(columns)
+        # Rows that agree in id and text bring the same segment twice.
+        new = np.append(True, np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns]))
+        group = group.take(pa.array(order[new]))
         gram = group.column("gram").to_numpy()
         size = group.column("piece").combine_chunks().cast(pa.large_binary())
         size = np.diff(np.frombuffer(size.buffers()[1], np.int64, len(size) + 1, size.offset * 8)) + 1
