@@ -124,15 +124,17 @@ def _gradients(model: ByteTagger, windows: np.ndarray, labels: np.ndarray) -> li
     return grads
 
 
-def train(windows: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 256, rate: float = 0.02) -> ByteTagger:
-    """Adam over shuffled batches; the same sample gives the same network."""
+def train(windows: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 256, rate: float = 0.02, least_steps: int = 200) -> ByteTagger:
+    """Adam over shuffled batches; the same sample gives the same network.  Small samples are gone through more often."""
     languages = sorted(set(labels))
     model = new_tagger(languages)
     target = np.searchsorted(np.array(languages), np.array(labels))
     rng = np.random.default_rng(11)
     parts = model.parts()
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    steps, step = epochs * -(-len(labels) // batch), 0
+    batches = -(-len(labels) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    steps, step = epochs * batches, 0
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for low in range(0, len(labels), batch):
