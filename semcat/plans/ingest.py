@@ -24,11 +24,11 @@ from semcat.sources.catalogue import (
     write_programmes,
 )
 from semcat.sources.pages import (
-    MAX_PAGES,
     before_first_empty,
     page_items,
     parsed_pages,
     read_page_files,
+    requested_items,
 )
 from semcat.sources.snapshots import fresh_or_cached_calls
 
@@ -61,9 +61,17 @@ def clean_and_store(
     write_programmes(with_uuid(written, source_column), uuid_path, drop)
 
 
-def calls_of_pages(pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """Kept calls of (page, body) rows: cut, explode, look up, filter."""
+def calls_of_pages(
+    pages: DataFrame, max_pages: int | None = None, asked_only: bool = False
+) -> DataFrame:
+    """Kept calls of (page, body) rows: cut, explode, look up, filter.
+
+    ``asked_only`` applies the request's conditions to pages that were landed
+    without them.
+    """
     items = page_items(before_first_empty(parsed_pages(pages), max_pages))
+    if asked_only:
+        items = requested_items(items)
     return kept_calls(items_to_calls(items)).drop("page")
 
 
@@ -73,13 +81,14 @@ def ingest_pages(
     cache_root: str,
     batch: str,
     out: str,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     per_line: bool = False,
+    asked_only: bool = False,
 ) -> None:
     """Landed API pages to ``out``/cleaned, ``out``/uuid and facet lists."""
     calls = fresh_or_cached_calls(
         spark,
-        lambda: calls_of_pages(read_page_files(spark, pages_path, per_line), max_pages),
+        lambda: calls_of_pages(read_page_files(spark, pages_path, per_line), max_pages, asked_only),
         cache_root,
         batch,
     )

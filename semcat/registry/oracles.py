@@ -273,11 +273,11 @@ SELECT (SELECT count(*) FROM existing WHERE uuid IN (SELECT uuid FROM gone)) AS
   CAST((SELECT coalesce(sum(n), 0) FROM cut) AS BIGINT) AS embedded_chunks, (SELECT count(*) FROM fresh) AS duplicate_uuids""",
     "q_stream_refresh": f"WITH {_PROGRAMMES} SELECT uuid, description FROM prog WHERE NOT deleted AND regexp_matches(description, '\\S')",
     "q_search_text": f"""WITH {_PROGRAMMES},
-toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT coalesce(deleted, false)),
+toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT deleted),
 cuts AS (SELECT id, t, unnest({_STARTS.format(w=384, s=288)}) AS s FROM toks WHERE len(t) > 0),
 texts AS (
   SELECT 'p' AS side, id, s // 288 AS chunk_no, list_slice(t, s + 1, s + 384) AS w FROM cuts
-  UNION ALL SELECT 'q', conv_id || '-' || turn, 0, regexp_extract_all(substr(text, 1, 5000), {_WORD})
+  UNION ALL SELECT 'q', conv_id || '-' || turn, 0, regexp_extract_all(text, {_WORD})
   FROM conversations WHERE role = 'user' AND text <> ''),
 words AS (SELECT side, id, chunk_no, CAST('0x' || substr(md5(lower(unnest(w))), 1, 8) AS BIGINT) AS code FROM texts),
 cells AS (
@@ -332,7 +332,7 @@ SELECT qid, rank, {_HEADING} AS heading, m.short_description AS short_descriptio
     "q_render_calls": f"""WITH {_SEARCH}
 SELECT qid, rank, {_HEADING} AS heading, m.full_description AS description, strftime(m.date_1, {_SHOWN}) AS planned_opening_date,
   strftime(m.date_2, {_SHOWN}) AS deadline, {_PERCENT} AS score FROM results""",
-    "q_query_validation": """SELECT conv_id || '-' || turn AS qid, substr(text, 1, 5000) AS text FROM conversations
-WHERE role = 'user' AND length(text) > 60""",
+    "q_query_validation": """SELECT conv_id || '-' || turn AS qid, text FROM conversations WHERE role = 'user' AND length(text) > 60
+UNION ALL SELECT 'd' || doc_id, text FROM documents WHERE length(text) > 60""",
     "q_normalise_string": f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN nullif({strip("text")}, '') END AS text FROM conversations""",
 }

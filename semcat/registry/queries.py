@@ -657,7 +657,8 @@ def q_render_calls(spark, sf):
 
 @query
 def q_query_validation(spark, sf):
-    emptied = text_queries(spark, sf).withColumn("text", F.when(F.length("text") > 60, c("text")).otherwise(lit("")))
+    whole = table(spark, sf, "documents").select(F.concat(lit("d"), c("doc_id")).alias("qid"), "text")
+    emptied = text_queries(spark, sf).select("qid", "text").unionByName(whole).withColumn("text", F.when(F.length("text") > 60, c("text")).otherwise(lit("")))
     return search.valid_queries(emptied)
 
 
@@ -670,7 +671,7 @@ def q_normalise_string(spark, sf):
 @query
 def q_search_text(spark, sf):
     """The whole way: documents chunked, embedded, searched by user messages, filtered."""
-    rows = programmes(spark, sf).filter(~F.coalesce(c("deleted"), lit(False)))
+    rows = programmes(spark, sf).filter(~c("deleted"))
     embedder = embed.hashing_embedder()
     points = embed.with_vectors(chunk.chunks(rows), embedder)
     queries = search.embed_queries(search.valid_queries(text_queries(spark, sf)), embedder)

@@ -9,9 +9,8 @@ from semcat.functions.jsonx import json_fields
 from semcat.operators.normalise import ALLOWED_STATUS
 from semcat.schema import ORDER_COLUMN
 
-# Items per page, pages per refresh, and the conditions the API
-# is asked to apply.
-PAGE_SIZE, MAX_PAGES = 50, 100
+# Items per page and the conditions the API is asked to apply.
+PAGE_SIZE = 50
 ITEM_TYPES = ("1", "2")
 ITEM_LANGUAGES = ("en",)
 _POSITION_BITS = 1 << 20
@@ -35,7 +34,9 @@ def _pages(texts: DataFrame, per_line: bool) -> DataFrame:
         number = F.get_json_object("value", "$.page")
     else:
         number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return texts.select(number.cast("long").alias("page"), F.col("value").alias("body"))
+    page = number.cast("long")
+    missing = F.raise_error(F.lit("a page has no number")).cast("long")
+    return texts.select(F.coalesce(page, missing).alias("page"), F.col("value").alias("body"))
 
 
 def _results(body: Column) -> Column:
@@ -52,8 +53,8 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page", _results(F.col("body")).alias("items"))
 
 
-def before_first_empty(pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """Parsed pages up to ``max_pages`` and before the first one without items.
+def before_first_empty(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Parsed pages before the first one without items; up to ``max_pages``, if given.
 
     The cut is one number, read as a scalar subquery.
     """

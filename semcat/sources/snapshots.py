@@ -14,6 +14,23 @@ from semcat.sources.paths import exists, subfolders
 
 logger = logging.getLogger(__name__)
 
+# Error conditions that say that a source is missing or broken, not that the code is.
+SOURCE_ERRORS = (
+    "PATH_NOT_FOUND",
+    "FAILED_READ_FILE",
+    "MALFORMED_RECORD_IN_PARSING",
+    "UNABLE_TO_INFER_SCHEMA",
+    "USER_RAISED_EXCEPTION",
+    "TASK_WRITE_FAILED",
+)
+
+
+def _is_source_error(error: Exception) -> bool:
+    if not isinstance(error, PySparkException):
+        return True
+    condition = error.getCondition() or ""
+    return condition.split(".")[0] in SOURCE_ERRORS
+
 SNAPSHOT_SCHEMA = T.StructType([*CALL_SCHEMA.fields, T.StructField(ORDER_COLUMN, T.LongType())])
 
 
@@ -50,12 +67,15 @@ def fresh_or_cached_calls(
     """Calls of a new batch, cached under its name; if they cannot be had, the
     newest cached ones; if there are none, the error.  Batch names sort by age.
 
-    Only ``failures`` mean that the source cannot be had; other errors are bugs.
+    Only ``failures`` mean that the source cannot be had, and of Spark's own
+    errors only those in SOURCE_ERRORS; other errors are bugs.
     """
     target = _new_attempt(spark, cache_root, batch)
     try:
         write_calls(fetch(), target)
     except failures as error:
+        if not _is_source_error(error):
+            raise
         cached = latest_good_snapshot(spark, cache_root)
         if cached is None:
             raise

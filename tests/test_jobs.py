@@ -229,7 +229,9 @@ def test_stream_of_pages(spark, tmp_path):
 
 def test_query_validation(spark):
     frame = spark.createDataFrame([("a", ""), ("b", None), ("c", "x" * 6000), ("d", " ")], "qid string, text string")
-    assert {r["qid"]: len(r["text"]) for r in search.valid_queries(frame).collect()} == {"c": 5000, "d": 1}
+    assert {r["qid"]: len(r["text"]) for r in search.valid_queries(frame).collect()} == {"c": 6000, "d": 1}
+    with pytest.raises(Exception, match="more than 5000"):
+        search.valid_queries(frame, max_chars=5000).collect()
     assert search.check_limit(20) == 20
     for bad in (0, 4, 12, 55):
         with pytest.raises(ValueError):
