@@ -270,7 +270,9 @@ UNION ALL SELECT uuid, 1 FROM remaining""",
 cut AS (SELECT uuid, CAST(len({_STARTS.format(w=384, s=288)}) AS BIGINT) AS n FROM toks WHERE len(t) > 0)
 SELECT (SELECT count(*) FROM existing WHERE uuid IN (SELECT uuid FROM gone)) AS deleted,
   2 * (SELECT count(*) FROM fresh) AS new_rows, (SELECT count(*) FROM cut) AS embedded_programmes,
-  CAST((SELECT coalesce(sum(n), 0) FROM cut) AS BIGINT) AS embedded_chunks, (SELECT count(*) FROM fresh) AS duplicate_uuids""",
+  CAST((SELECT coalesce(sum(n), 0) FROM cut) AS BIGINT) AS embedded_chunks, (SELECT count(*) FROM fresh) AS duplicate_uuids,
+  (SELECT count(*) FROM fresh) - (SELECT count(*) FROM cut) AS without_vectors,
+  (SELECT count(*) FROM prog WHERE uuid IS NULL) AS null_uuids""",
     "q_stream_refresh": f"WITH {_PROGRAMMES} SELECT uuid, description FROM prog WHERE NOT deleted AND regexp_matches(description, '\\S')",
     "q_search_text": f"""WITH {_PROGRAMMES},
 toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT deleted),

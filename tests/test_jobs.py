@@ -257,3 +257,37 @@ def test_limit_counts_hits_before_filters(spark):
     assert ids(2) == ["A"] and ids(3) == ["A", "B"] and ids(2, locations=["b"]) == []
     hook = search.search_vectors(queries, points, payload, 3, hook=lambda df: df.filter(F.col("rank") > 1))
     assert [r["project_id"] for r in hook.collect()] == ["B"]
+
+
+def test_null_ids_are_left_out(spark, tmp_path):
+    """Two refreshes of rows without an id add nothing the second time."""
+    embedder = hashing_embedder(8)
+    rows = spark.createDataFrame(
+        [("00000000-0000-0000-0000-000000000001", "a text", False, 1), (None, "lost", False, 2)],
+        f"uuid string, description string, deleted boolean, {ORDER_COLUMN} long",
+    )
+    store = VectorStore.open(spark, str(tmp_path / "store"), embedder.name, embedder.dim)
+    first = sync(rows, store, embedder)
+    assert (first.new_rows, first.null_uuids, first.duplicate_uuids) == (1, 1, 0)
+    assert sync(rows, store, embedder) == SyncStats(null_uuids=1)
+    assert store.points().count() == 1
+
+
+def test_losing_writer_changes_nothing(spark, tmp_path):
+    """Both write version 2; the one that commits first is what readers see."""
+    embedder = hashing_embedder(8)
+    one = VectorStore.open(spark, str(tmp_path / "store"), embedder.name, embedder.dim)
+    two = VectorStore.open(spark, str(tmp_path / "store"), embedder.name, embedder.dim)
+
+    def points(name):
+        return spark.createDataFrame([(name, 0, [1.0] + [0.0] * 7)], "uuid string, chunk_no int, vector array<float>")
+
+    for store, name in ((one, "a"), (two, "b")):
+        store.write_part("points", 2, points(name))
+        store.write_part("payload", 2, points(name).select("uuid"))
+    one.commit("upsert", 2, ["points", "payload"])
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        two.commit("upsert", 2, ["points", "payload"])
+    for store in (one, two, VectorStore.open(spark, one.root, embedder.name, embedder.dim)):
+        assert [r["uuid"] for r in store.points().collect()] == ["a"]
+        assert [r["uuid"] for r in store.payload().collect()] == ["a"]

@@ -223,3 +223,16 @@ def test_id_scan_reads_no_vectors(spark, tmp_path):
     plan = store.ids()._jdf.queryExecution().executedPlan().toString()
     schemas = [line.split("ReadSchema")[1] for line in plan.splitlines() if "ReadSchema" in line]
     assert schemas and all("uuid" in s and "vector" not in s for s in schemas)
+
+
+def test_coding_errors_are_raised(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "1"), root, "b1")
+    with pytest.raises(Exception, match="no_such_column"):
+        snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "2").select("no_such_column"), root, "b2")
+
+
+def test_page_without_a_number_is_an_error(spark, tmp_path):
+    (tmp_path / "pages.jsonl").write_text('{"page": 1, "results": []}\n{"results": []}\n')
+    with pytest.raises(Exception, match="no number"):
+        pages.read_page_files(spark, str(tmp_path / "pages.jsonl"), per_line=True).collect()
