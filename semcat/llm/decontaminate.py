@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, slices, span_hashes, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, slices, span_hashes, tidied, word_spans
 
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
 LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                         )
 
         schema = f"doc_id {kind}, item_id long, edits long, first_word long, item_words long"
-        parts.append(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(find, schema))
+        parts.append(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(tidied(find), schema))
     if not parts:
         return spark.createDataFrame([], f"doc_id {kind}, item_id long, edits long, first_word long, item_words long")
     found = parts[0]

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.llm.common import mixed, slices, words_of
+from semcat.llm.common import mixed, slices, tidied, tidied_group, words_of
 from semcat.session import work_dir
 
 LARGEST = 5  # counts up to this are discounted
@@ -182,7 +182,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
                 serial += 1
 
     shape = f"block long, doc_ids array<{kind}>, held binary, length binary, token binary, words binary"
-    table, block_folder = _kept(docs.mapInArrow(blocks, shape), "blocks")
+    table, block_folder = _kept(docs.mapInArrow(tidied(blocks), shape), "blocks")
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +212,9 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
         rows = first + [("answer", block, *answer) for block, answer in zip(group.column("block").to_pylist(), answers)]
         return pa.table({"kind": [r[0] for r in rows], "block": pa.array([r[1] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "one": pa.array([r[2] for r in rows], pa.binary()), "two": pa.array([r[3] for r in rows], pa.binary())})
 
-    asked = table.select("block", "held", "length", "token", "words").mapInArrow(ask_words, "bucket long, block long, key binary, count binary")
+    asked = table.select("block", "held", "length", "token", "words").mapInArrow(tidied(ask_words), "bucket long, block long, key binary, count binary")
     answer_shape = "kind string, block long, bucket long, one binary, two binary"
-    unigrams, unigram_folder = _kept(asked.groupBy("bucket").applyInArrow(count_words, answer_shape), "unigrams")
+    unigrams, unigram_folder = _kept(asked.groupBy("bucket").applyInArrow(tidied_group(count_words), answer_shape), "unigrams")
     sums = np.sum([_unpack(r["one"]) for r in unigrams.where("kind = 'sums'").select("one").collect()] or [np.zeros(LARGEST + 5, np.int64)], axis=0)
     model = Unigrams(sums[: LARGEST + 2].astype(float), max(sums[-2], 1), sums[-1])
     # At most 4 contexts a bucket are that frequent.
@@ -268,8 +268,8 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
         return pa.table({"kind": [r[0] for r in rows], "block": pa.array([r[1] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "one": pa.array([r[2] for r in rows], pa.binary()), "two": pa.array([r[3] for r in rows], pa.binary())})
 
     told = unigrams.where("kind = 'answer'")
-    pairs = table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_pairs, "bucket long, block long, context binary, word binary, made binary, right_count binary, hot binary")
-    bigrams, bigram_folder = _kept(pairs.groupBy("bucket").applyInArrow(count_pairs, answer_shape), "bigrams")
+    pairs = table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidied_group(ask_pairs), "bucket long, block long, context binary, word binary, made binary, right_count binary, hot binary")
+    bigrams, bigram_folder = _kept(pairs.groupBy("bucket").applyInArrow(tidied_group(count_pairs), answer_shape), "bigrams")
     kinds = np.sum([_unpack(r["one"]) for r in bigrams.where("kind = 'sums'").select("one").collect()] or [np.zeros(LARGEST + 3, np.int64)], axis=0)
     discount = discounts(kinds[: LARGEST + 2].astype(float))
 
@@ -280,7 +280,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_pydict({"context": pa.array(contexts), **{f"s{i}": pa.array(sums[:, i]) for i in range(LARGEST + 2)}})
 
     columns = [f"s{i}" for i in range(LARGEST + 2)]
-    split = bigrams.where("kind = 'hot'").select("one", "two").mapInArrow(hot_parts, "context long, " + ", ".join(f"{c} double" for c in columns))
+    split = bigrams.where("kind = 'hot'").select("one", "two").mapInArrow(tidied(hot_parts), "context long, " + ", ".join(f"{c} double" for c in columns))
     frequent = {r["context"]: [r[c] for c in columns] for r in split.groupBy("context").agg(*(F.sum(c).alias(c) for c in columns)).collect()}
     hot_keys = np.array(sorted(frequent), np.int64)
     hot_sums = np.array([frequent[k] for k in hot_keys.tolist()]).reshape(-1, LARGEST + 2)
@@ -325,7 +325,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
         )
 
     every = told.unionByName(bigrams.where("kind = 'pairs'"))
-    out = table.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = table.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(tidied_group(score), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     scored, _ = _kept(out, "katz_scores")
     del out, every, told
     _release(spark, block_folder)

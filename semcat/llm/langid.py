@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import slices
+from semcat.llm.common import slices, tidied
 
 WINDOW = 64  # bytes that one run of the network sees
 HIDDEN = 8  # units of each direction
@@ -212,7 +212,7 @@ def training_windows(docs: DataFrame, bound: int = TRAIN_WINDOWS) -> tuple[np.nd
                         ["lang", "window", "u", "rank"],
                     )
 
-    found = chosen.select("lang", "text", "_u").mapInArrow(windows, "lang string, window binary, u double, rank long")
+    found = chosen.select("lang", "text", "_u").mapInArrow(tidied(windows), "lang string, window binary, u double, rank long")
     rows = found.orderBy("u", "rank", "lang", "window").limit(2 * bound).collect()
     taken, left = [], dict.fromkeys(counts, share)
     for row in rows:
@@ -256,4 +256,4 @@ def identify(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
                 columns = [part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "lang_score"])
 
-    return flagged.mapInArrow(label, schema)
+    return flagged.mapInArrow(tidied(label), schema)

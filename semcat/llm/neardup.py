@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import stored
+from semcat.llm.common import stored, tidied, tidied_group
 from semcat.llm.graph import components
 
 THRESHOLD = 0.98
@@ -142,7 +142,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 )
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    spread = single.mapInArrow(keyed, f"label string, size int, table int, key long, id {kind}, weight long, keys array<long>, v array<double>")
+    spread = single.mapInArrow(tidied(keyed), f"label string, size int, table int, key long, id {kind}, weight long, keys array<long>, v array<double>")
     spread = stored(spread, "keyed_vectors")
     crowd = spread.groupBy("label", "size", "table", "key").count().where(f"count > {BLOCK}")
     # At most one key in BLOCK rows, so these are few; they are still joined by size.
@@ -204,7 +204,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         merged = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_id, out_links, out_root)]
         return pa.table({"id": pa.array(merged[0], group.schema.field("id").type), "links": pa.array(merged[1], pa.int64()), "root": pa.array(merged[2], group.schema.field("id").type)})
 
-    found = stored(placed.groupBy("place").applyInArrow(compare, f"id {kind}, links long, root {kind}"), "vector_links")
+    found = stored(placed.groupBy("place").applyInArrow(tidied_group(compare), f"id {kind}, links long, root {kind}"), "vector_links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found, "id", "root")
     state = single.select("id", "label", "v", "weight").join(linked, "id", "left").join(roots, F.col("id") == F.col("node"), "left")

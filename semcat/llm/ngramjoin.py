@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, sent, slices, stored, words_of
+from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, sent, slices, stored, tidied, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
@@ -112,7 +112,7 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
 
     more = "" if percent is None else ", least long"
     tail = "" if percent is None else ", key1 long, key2 long"
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long{more}, ids array<long>{tail}")
+    return docs.select("doc_id", "text").mapInArrow(tidied(rows), f"doc_id {kind}, n_shingles long{more}, ids array<long>{tail}")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, order, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import lowered, slices, span_hashes, stored, word_spans
+from semcat.llm.common import lowered, slices, span_hashes, stored, tidied, tidied_group, word_spans
 
 FEATURES = 256  # cosines that approximate the kernel
 RIDGE = 1.0
@@ -94,7 +94,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, stats array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(measure), f"doc_id {kind}, stats array<double>")
 
 
 @dataclass
@@ -168,7 +168,7 @@ def fit_quality(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
 
     fitted = table.where("part != 0") if table.where("part != 0").limit(1).count() else table
     shape = "row long, sums array<double>"
-    rows = fitted.select("stats", "label").mapInArrow(equations, shape).groupBy("row").applyInArrow(summed, shape).collect()
+    rows = fitted.select("stats", "label").mapInArrow(tidied(equations), shape).groupBy("row").applyInArrow(tidied_group(summed), shape).collect()
     system = np.stack([r["sums"] for r in sorted(rows, key=lambda r: r["row"])])
     penalty = RIDGE * np.eye(FEATURES + 1)
     penalty[-1, -1] = 1e-6
@@ -180,7 +180,7 @@ def fit_quality(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
             yield pa.RecordBatch.from_arrays([pa.array(np.round((raw + 1) / 3 * BINS).astype(np.int64)), batch.column("label").cast(pa.float64())], ["bin", "label"])
 
     aside = table.where("part = 0") if table.where("part = 0").limit(1).count() else table
-    bins = aside.select("stats", "label").mapInArrow(binned, "bin long, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("y")).orderBy("bin").collect()
+    bins = aside.select("stats", "label").mapInArrow(tidied(binned), "bin long, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("y")).orderBy("bin").collect()
     n, y = np.array([b["n"] for b in bins], float), np.array([b["y"] for b in bins], float)
     model.knots = np.array([b["bin"] for b in bins]) / BINS * 3 - 1
     heights = isotonic(n, y)
@@ -200,4 +200,4 @@ def score_quality(stats: DataFrame, model: QualityModel | None) -> DataFrame:
             value = model.score(_stats(batch)) if model is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value)], ["doc_id", "quality"])
 
-    return stats.mapInArrow(score, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, quality double")
+    return stats.mapInArrow(tidied(score), f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, quality double")

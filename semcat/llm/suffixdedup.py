@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import as_texts, bytes_of, mixed, slices, span_hashes, stored
+from semcat.llm.common import as_texts, bytes_of, mixed, slices, span_hashes, stored, tidied, tidied_group
 
 LENGTH = 100  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
-STEP = 1 << 20  # starts that one numpy step looks at
-BUCKET_BYTES = 32 << 20  # text whose anchors one group holds
-TRANSFORM_BYTES = 2 << 20  # segments of one transform
+STEP = 1 << 18  # starts that one numpy step looks at
+BUCKET_BYTES = 16 << 20  # text whose anchors one group holds
+TRANSFORM_BYTES = 1 << 19  # segments of one transform
 HOT_SEGMENTS = 20_000  # segments of one anchor; beyond, strings are compared by a shuffle of their hashes
 _END = 0xFF  # between segments; no byte of UTF-8
 _LAST = np.iinfo(np.int64).max
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[name] = pa.array([r[name].astype(_TYPES[name]).tobytes() if name in r else b"" for r in rows], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
-    blobs = stored(docs.select("k", "t", "text").mapInArrow(local, "bucket long, " + ", ".join(f"{n} binary" for n in _BLOBS)), "anchors")
+    blobs = stored(docs.select("k", "t", "text").mapInArrow(tidied(local), "bucket long, " + ", ".join(f"{n} binary" for n in _BLOBS)), "anchors")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield _spans_batch(*(np.frombuffer(row[n], np.int64) for n in ("k", "t", "start", "end")))
 
     shape = "k long, t long, start long, end long"
-    within = blobs.where("bucket = -1").select("k", "t", "start", "end").mapInArrow(unpack, shape)
+    within = blobs.where("bucket = -1").select("k", "t", "start", "end").mapInArrow(tidied(unpack), shape)
 
     def compare(group: pa.Table) -> pa.Table:
         """Later copies of whole segments as spans; firsts of anchors with several segments as requests."""
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kind = np.concatenate([np.zeros(len(gone), np.int32), np.where(hot, 2, 1).astype(np.int32)])
         return pa.table({"k": k[both], "t": t[both], "start": start[both], "end": end[both], "gram": gram[both].view(np.int64), "kind": kind})
 
-    compared = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(compare, f"{shape}, gram long, kind int")
+    compared = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(compare), f"{shape}, gram long, kind int")
     compared = stored(compared, "compared")
     copies = compared.where("kind = 0").select("k", "t", "start", "end")
 
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["k", "t", "start", "gram", "kind", "piece"],
                 )
 
-    pieces = stored(texts.mapInArrow(fetch, "k long, t long, start long, gram long, kind int, piece binary"), "segments")
+    pieces = stored(texts.mapInArrow(tidied(fetch), "k long, t long, start long, gram long, kind int, piece binary"), "segments")
 
     def transform(group: pa.Table) -> pa.Table:
         names = ("start", "t", "k", "gram")
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
     cold = pieces.where("kind = 1").select("k", "t", "start", "gram", "piece", bucket)
-    found = cold.groupBy("bucket").applyInArrow(transform, shape)
+    found = cold.groupBy("bucket").applyInArrow(tidied_group(transform), shape)
 
     # Very frequent anchors: each string by itself, by two hashes, reduced before the shuffle.
     strings = pieces.where("kind = 2").select("k", "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("piece") - length + 1), lambda i: F.substring("piece", i, F.lit(length)))).alias("i", "s"), "start")
@@ -344,7 +344,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 more = [pa.array(pieces, pa.binary()), pa.array(size), pa.array(size - np.diff(left)), pa.array(np.bincount(d, minlength=part.num_rows).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], [*names, *extra])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidied(cut), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from semcat.llm.common import as_texts, bytes_of, hashed_sample, slices
+from semcat.llm.common import as_texts, bytes_of, hashed_sample, slices, tidied
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SAMPLE_DOCS = 2000  # bound of the documents that the frequent pre-tokens are found in
@@ -169,4 +169,4 @@ def count_tokens(docs: DataFrame, path: str = WORD_BPE) -> DataFrame:
                 total = counts.of_texts(data, bounds)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(total)], [*names, "n_tokens"])
 
-    return docs.mapInArrow(count, schema)
+    return docs.mapInArrow(tidied(count), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, lowered, mixed, slices, span_hashes, stored, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, lowered, mixed, slices, span_hashes, stored, tidied, word_spans
 
 TRAIN_DOCS = 3000  # bound of labelled documents of each class that are learned from
 DISCOUNT = 2.0  # taken from every count: an expression that stands in two documents of a class or fewer has no weight of its own
@@ -187,4 +187,4 @@ def score_toxicity(docs: DataFrame, model: ClassModels | None) -> DataFrame:
                     value = np.where(n > 0, 1 / (1 + np.exp(-np.clip(x @ model.scale, -30, 30))), model.prior)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(value), pa.array(n.astype(np.int64))], [*names, "toxicity", "toxicity_words"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidied(score), schema)
