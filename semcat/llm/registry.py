@@ -13,6 +13,7 @@ from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.neardup import similar_vectors
 from semcat.llm.ngramjoin import near_copies
+from semcat.llm.oracles import ORACLES
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
 from semcat.llm.suffixdedup import without_repeats
 from semcat.llm.tokencount import WORD_BPE, count_tokens
@@ -113,4 +114,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
