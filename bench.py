@@ -16,10 +16,12 @@ from semcat.session import build_session  # noqa: E402
 HEADLINE = (
     "q_html_text",
     "q_normalise_calls",
+    "q_calls",
     "q_chunks",
     "q_embed_hash",
     "q_topk_single",
     "q_topk_batch",
+    "q_topk_blocked",
     "q_facets_multi",
     "q_new_rows",
     "q_search_filtered",
