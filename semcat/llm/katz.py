@@ -103,10 +103,13 @@ class Block:
         before = np.empty(len(token), np.int64)
         before[1:] = token[:-1]
         before[(np.cumsum(self.length) - self.length)[self.length > 0]] = _BOS
-        pair, self.of_token = np.unique((before + 1) * (len(words) + 1) + token, return_inverse=True)
+        before += 1
+        before *= len(words) + 1
+        before += token
+        pair, self.of_token = np.unique(before, return_inverse=True)
+        del before
         left, right = pair // (len(words) + 1) - 1, pair % (len(words) + 1)
-        train = np.repeat(~self.held, self.length)
-        made = np.bincount(self.of_token, train, len(pair)).astype(np.int64)
+        made = np.bincount(self.of_token[np.repeat(~self.held, self.length)], minlength=len(pair))
         context = np.where(left < 0, _BOS, code[left])
         # A very frequent context is split over all buckets by its pairs.
         self.hot = (left < 0) | (count[left] > hot)
@@ -291,26 +294,27 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     def score(row: pa.Table, answers: pa.Table) -> pa.Table:
         own = block_of(row, answers)
         cut = own.bounds(buckets)
-        n = len(own.context)
-        made, sums = np.zeros(n, np.int64), np.zeros((n, LARGEST + 2))
-        for answer in answers.to_pylist():
-            if answer["kind"] != "pairs":
+        hot_keys, hot_sums = shared.value
+        chance = model.chance(own.right_count)
+        # Bucket by bucket, so that the contexts' sums of one bucket are held at a time.
+        for at in range(answers.num_rows):
+            if answers.column("kind")[at].as_py() != "pairs":
                 continue
-            low, high = cut[answer["bucket"]], cut[answer["bucket"] + 1]
-            made[low:high] = _unpack(answer["one"])
-            ints, _, floats = answer["two"].partition(b"|SPLIT|")
-            cold = ~own.hot[low:high]
-            keys = np.unique(own.context[low:high][cold])
+            bucket = answers.column("bucket")[at].as_py()
+            low, high = cut[bucket], cut[bucket + 1]
+            made = _unpack(answers.column("one")[at].as_py())
+            ints, _, floats = answers.column("two")[at].as_py().partition(b"|SPLIT|")
+            context, is_hot = own.context[low:high], own.hot[low:high]
+            sums = np.empty((high - low, LARGEST + 2))
+            keys = np.unique(context[~is_hot])
             told = np.concatenate([_unpack(ints).reshape(-1, LARGEST + 1).astype(float), _unpack(floats)[:, None]], 1)
-            sums[low:high][cold] = told[np.searchsorted(keys, own.context[low:high][cold])]
-        hot_keys, hot_sums = shared.value
-        if own.hot.any():
-            sums[own.hot] = hot_sums[np.searchsorted(hot_keys, own.context[own.hot])]
-        total = sums[:, 0]
-        scale, weight = backoff_weights(total, sums[:, 1:-1], sums[:, -1], discount)
-        seen = made * discount[np.minimum(made, LARGEST + 1)] / np.maximum(total, 1) * scale
-        below = model.chance(own.right_count)
-        chance = np.where(made > 0, seen, np.where(total > 0, weight, 1.0) * below)
+            sums[~is_hot] = told[np.searchsorted(keys, context[~is_hot])]
+            if is_hot.any():
+                sums[is_hot] = hot_sums[np.searchsorted(hot_keys, context[is_hot])]
+            total = sums[:, 0]
+            scale, weight = backoff_weights(total, sums[:, 1:-1], sums[:, -1], discount)
+            seen = made * discount[np.minimum(made, LARGEST + 1)] / np.maximum(total, 1) * scale
+            chance[low:high] = np.where(made > 0, seen, np.where(total > 0, weight, 1.0) * chance[low:high])
         doc = np.repeat(np.arange(len(own.length)), own.length)
         logs = np.log10(np.maximum(chance, 1e-300))[own.of_token]
         size = len(own.length)
