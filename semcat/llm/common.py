@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.session import work_dir
@@ -18,6 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder.
 

@@ -7,7 +7,6 @@ counts of its distinct pairs; tables are split by hash, answers come back by blo
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.llm.common import mixed, slices, tidied, tidied_group, words_of
+from semcat.llm.common import free_shuffles, mixed, slices, tidied, tidied_group, words_of
 from semcat.session import work_dir
 
 LARGEST = 5  # counts up to this are discounted
@@ -137,8 +136,7 @@ def _release(spark: SparkSession, *folders: str) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    free_shuffles(spark)
 
 
 def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:

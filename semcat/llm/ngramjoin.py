@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, hashed_sample, mixed, sent, slices, stored, tidied, words_of
+from semcat.llm.common import HashIndex, as_texts, bytes_of, free_shuffles, hashed_sample, mixed, sent, slices, stored, tidied, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
@@ -83,8 +83,8 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
     """doc_id, n_shingles and the ids of the shingles in their order.
 
     With a percentage the ids are cut to the prefix: two sets that are linked
-    share at least ``least`` ids of their prefixes, the smaller of the two.  A
-    hash of the whole set then comes along.
+    share an id of their prefixes, and near copies mostly ``least``.  A hash of
+    the whole set then comes along.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
                     columns["ids"] = _lists(value, doc, n)
                 else:
                     least = np.maximum(size // 20, 1)
-                    reach = np.minimum(size - _count_needed(size, percent) + least, size)
+                    reach = np.minimum(size - _count_needed(size, percent) + 1, size)
                     rank = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
                     kept = rank < reach[doc]
                     sums = np.zeros((2, n), np.uint64)
@@ -182,6 +182,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         .drop("pos", "reach")
     )
     listed = stored(listed, "lists")
+    free_shuffles(spark)
     # The group with the fewest ids of its own is the likeliest to be near all others.
     leads = listed.groupBy("id").agg(F.min(F.struct("all_lone", "gid")).alias("lead")).select("id", F.col("lead.gid").alias("lead"))
     sizes = groups.select(F.col("gid").alias("lead"), F.col("n_shingles").alias("l_size"), F.col("least").alias("l_least"))
@@ -192,6 +193,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     )
     links = stored(_linked(first, docs, words, order, percent), "links1")
     found = stored(components(links, "a", "b"), "components1")
+    free_shuffles(spark)
 
     placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "gid", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     placed = stored(placed, "placed")
@@ -207,6 +209,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     opens = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
     met = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles") & reachable & opens)
     met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
+    free_shuffles(spark)
     # Up to the end of the prefix that ends first, the prefixes tell all that is shared.
     side = {n: groups.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
     ends = F.element_at("g_ids", -1) <= F.element_at("o_ids", -1)
