@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows that repeat an id are one, rows without an id stay."""
-    groups = stored(near_copies(docs), "near_groups")
+    groups = near_copies(docs)
     dropped = groups.where("component_id != doc_id").select("doc_id").distinct()
     left = docs.join(sent(dropped), "doc_id", "left_anti")
     again = sent(groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))

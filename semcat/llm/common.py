@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -25,13 +26,38 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+def remove_folders(spark: SparkSession, *folders: str) -> None:
+    """Removes tables of an operator that are read no more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    free_shuffles(spark)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, but for those stored with ``keep``."""
+    folders: list[str] = []
+    _SCRATCH.append(folders)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folders)
+        remove_folders(spark, *folders)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The frame as a Parquet table in the shared folder.
 
     Later steps read it again after a lost executor; nothing is computed twice.
     """
     folder = work_dir(df.sparkSession, name)
     df.write.parquet(folder)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import free_shuffles, mixed, slices, tidied, tidied_group, words_of
+from semcat.llm.common import mixed, remove_folders, slices, tidied, tidied_group, words_of
 from semcat.session import work_dir
 
 LARGEST = 5  # counts up to this are discounted
@@ -131,14 +131,6 @@ def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
-def _release(spark: SparkSession, *folders: str) -> None:
-    """Removes tables that are read no more, and lets Spark drop shuffles that nothing refers to."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    free_shuffles(spark)
-
-
 def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, n_tokens, n_known, base_score, score of each row, and the number of training tokens.
 
@@ -220,7 +212,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     model = Unigrams(sums[: LARGEST + 2].astype(float), max(sums[-2], 1), sums[-1])
     # At most 4 contexts a bucket are that frequent.
     hot = max(sums[-2] / (4 * buckets), 1000)
-    _release(spark)
+    remove_folders(spark)
 
     def block_of(row: pa.Table, answers: pa.Table) -> Block:
         told = {r["bucket"]: (_unpack(r["one"]), _unpack(r["two"])) for r in answers.to_pylist() if r["kind"] == "answer"}
@@ -287,7 +279,7 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     hot_sums = np.array([frequent[k] for k in hot_keys.tolist()]).reshape(-1, LARGEST + 2)
     shared = spark.sparkContext.broadcast((hot_keys, hot_sums))
     del pairs
-    _release(spark)
+    remove_folders(spark)
 
     def score(row: pa.Table, answers: pa.Table) -> pa.Table:
         own = block_of(row, answers)
@@ -330,5 +322,5 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, int]:
     out = table.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(tidied_group(score), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     scored, _ = _kept(out, "katz_scores")
     del out, every, told
-    _release(spark, block_folder)
+    remove_folders(spark, block_folder)
     return scored, int(sums[-2])

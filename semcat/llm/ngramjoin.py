@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, free_shuffles, hashed_sample, mixed, sent, slices, stored, tidied, words_of
+from semcat.llm.common import HashIndex, as_texts, bytes_of, free_shuffles, hashed_sample, mixed, scratch, sent, slices, stored, tidied, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
@@ -154,8 +154,13 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Null and empty texts, and texts without words, have no set and are alone.
     Rows of one doc_id count as one document that has each of their texts; a
     null doc_id is linked with nothing.  Empty tables give empty tables; other
-    columns are ignored.
+    columns are ignored.  The result is a table; what it was made from is removed.
     """
+    with scratch(docs.sparkSession):
+        return stored(_near_copies(docs, words, percent), "near_copies", keep=True)
+
+
+def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(frequent_shingles(docs, words))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import as_texts, bytes_of, mixed, slices, span_hashes, stored, tidied, tidied_group
+from semcat.llm.common import as_texts, bytes_of, free_shuffles, mixed, scratch, slices, span_hashes, stored, tidied, tidied_group
 
 LENGTH = 100  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
@@ -250,6 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     compared = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(compare), f"{shape}, gram long, kind int")
     compared = stored(compared, "compared")
+    free_shuffles(spark)
     copies = compared.where("kind = 0").select("k", "t", "start", "end")
 
     wanted = compared.where("kind > 0").groupBy("k", "t").agg(F.collect_list(F.struct("start", "end", "gram", "kind")).alias("asked"))
@@ -319,8 +320,9 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     """The documents with sd__kept, sd__bytes, sd__removed, sd__spans."""
     names = docs.columns
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("sd__k"), F.xxhash64("text").alias("sd__t"))
-    spans = repeated_spans(keyed.select(F.col("sd__k").alias("k"), F.col("sd__t").alias("t"), "text"), length)
-    spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("sd__all")), "spans")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(keyed.select(F.col("sd__k").alias("k"), F.col("sd__t").alias("t"), "text"), length)
+        spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("sd__all")), "spans", keep=True)
     spans = spans.select(F.col("k").alias("sd__k2"), F.col("t").alias("sd__t2"), "sd__all")
     joined = keyed.join(spans, (F.col("sd__k") == F.col("sd__k2")) & (F.col("sd__t") == F.col("sd__t2")), "left").select(*names, "sd__all")
     extra = {"sd__kept": "binary", "sd__bytes": "long", "sd__removed": "long", "sd__spans": "long"}
