@@ -15,6 +15,7 @@ from semcat.llm.graph import components
 # Bound of the documents in which frequent shingles are looked for.  They only set
 # the order in which shingles are compared; any order gives the same links.
 SAMPLE_DOCS = 5000
+RECENT = 4  # shared ids before one that tell whether a pair was met already
 
 
 def _count_needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     listed = (
         index.join(shared.hint("shuffle_hash"), "id")
         .withColumn("lone", F.col("pos") + 1 - F.row_number().over(own.orderBy("pos")))
-        .withColumn("before", F.lag("id").over(own.orderBy("pos")))
+        .withColumn("recent", F.collect_list("id").over(own.orderBy("pos").rowsBetween(-RECENT, -1)))
         .withColumn("all_lone", F.col("reach") - F.count("*").over(own))
         .drop("pos", "reach")
     )
@@ -203,15 +204,15 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "gid", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     placed = stored(placed, "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    known = listed.select("id", "gid", "n_shingles", "lone", "before").join(spans, "gid")
+    known = listed.select("id", "gid", "n_shingles", "lone", "recent").join(spans, "gid")
     mixed_lists = known.groupBy("id").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("id")
     open_lists = stored(known.join(mixed_lists.hint("shuffle_hash"), "id"), "open_lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
     most = F.least(F.col("x.n_shingles") - F.col("x.lone"), F.col("y.n_shingles") - F.col("y.lone"))
     reachable = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
-    # Where both had the same id before, the pair is met there.
-    opens = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    # Where both had the same id shortly before, the pair is met there.
+    opens = ~F.arrays_overlap("x.recent", "y.recent")
     met = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles") & reachable & opens)
     met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
     free_shuffles(spark)
