@@ -8,7 +8,7 @@ their embeddings agree in most places; keys of a few sampled places meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,12 @@ from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sen
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
 LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
 PLACES = 3  # places of the embedding in one key
-RECALL = 0.99  # that the keys reach on edited copies of the items themselves
-MOST_KEYS = 96
+RECALL = 0.99  # that the keys reach on copies of the items themselves with as many edits as are allowed
+MOST_KEYS = 96  # where these don't reach it, word pairs are counted instead, which loses nothing
+PIECE_WORDS = 64  # longer items are looked for by pieces of at most as many words
+TRIED = 480  # edited copies that the recall of a size is measured on
 BLOCK_ITEMS = 20_000  # items that one pass over the documents looks for
+BLOCK_BYTES = 8 << 20  # of their texts, about
 
 # Letters, digits and all bytes of other scripts belong to a word.
 _APART = np.ones(256, bool)
@@ -81,17 +84,16 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
 
 @dataclass
 class SizeClass:
-    """Items of similar length and their keys."""
+    """Pieces of similar length and their keys; their word pairs where no number of keys reaches RECALL."""
 
-    least: int  # words of the shortest
-    span: int  # words that hold any match of an item
+    span: int  # words that hold any match of a piece
     need: int  # word pairs of the benchmark in such a span
-    items: np.ndarray
     coins: np.ndarray
     places: np.ndarray
-    index: HashIndex | None = None
-    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    exact: bool
+    index: HashIndex
+    heads: np.ndarray
+    owners: np.ndarray  # pieces of each key
 
 
 @dataclass
@@ -103,6 +105,10 @@ class Matcher:
     bounds: np.ndarray
     pairs: HashIndex
     classes: list[SizeClass]
+    piece_item: np.ndarray
+    piece_offset: np.ndarray  # of a piece in its item
+    reach: np.ndarray  # words of an item that hold any match of it
+    slack: np.ndarray  # words that a match may start before a hit, beyond the edits
 
 
 def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
@@ -119,42 +125,120 @@ def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarr
     return np.array(out, np.uint64)
 
 
+def _pieces(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, offset and words of the pieces of all items, of nearly equal length within an item.
+
+    Whatever the edits of a copy, one of its pieces has no more than its share of them.
+    """
+    n = -(-size // PIECE_WORDS)
+    item = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(item)) - (np.cumsum(n) - n)[item]
+    low, high = k * size[item] // n[item], (k + 1) * size[item] // n[item]
+    return item, low, high - low
+
+
+def _grouped(keys: np.ndarray, owners: np.ndarray) -> tuple[HashIndex, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    distinct, first = np.unique(keys[order], return_index=True)
+    return HashIndex(distinct), np.append(first, len(keys)), owners[order]
+
+
+def _flat(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _reached(rng: np.random.Generator, words: np.ndarray, start: np.ndarray, size: np.ndarray, coins: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Share of copies with all edits that are allowed, in other text, that the first 1, 2, ... keys find."""
+    tried = rng.permutation(len(start))[:TRIED]
+    tried = np.repeat(tried, -(-TRIED // len(tried)))
+    copies = []
+    for i in tried:
+        after = rng.integers(0, 1 << 63, coins.shape[1], dtype=np.uint64)
+        copies.append(np.concatenate([_edited(rng, words[start[i] : start[i] + size[i]], int(size[i] * EDITS)), after]))
+    ends = np.cumsum([len(c) for c in copies])
+    ours = walk_keys(words, start[tried], start[tried] + size[tried], coins, places)
+    theirs = walk_keys(np.concatenate(copies), ends - [len(c) for c in copies], ends, coins, places)
+    return np.maximum.accumulate(ours == theirs, 0).mean(1)
+
+
 def build_matcher(ids: list[int], texts: list[str], seed: int = 3) -> Matcher:
-    """Keys of all items; as many repetitions as reach RECALL on edited copies of the items of a class."""
+    """Keys of all items; as many repetitions as reach RECALL on copies of the pieces of a class with all allowed edits."""
     words, bounds = words_and_bounds(*bytes_of(as_texts(pa.array(texts, pa.large_string()))))
     size = np.diff(bounds)
     rng = np.random.default_rng(seed)
     inner = np.ones(max(len(words) - 1, 0), bool)
     inner[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(words))] - 1] = False
-    pairs = np.unique(_pairs(words)[inner])
+    all_pairs = _pairs(words)
+    pairs = np.unique(all_pairs[inner])
+    piece_item, piece_offset, piece_size = _pieces(size)
+    piece_start = bounds[piece_item] + piece_offset
+    reach, slack = size + (size * EDITS).astype(np.int64), np.zeros(len(size), np.int64)
     classes, low = [], LEAST_WORDS
-    while size.size and low <= size.max():
+    while piece_size.size and low <= piece_size.max():
         high = max(low + 1, int(low * 1.25))
-        items = np.flatnonzero((size >= low) & (size < high))
-        if len(items):
-            # An edit breaks two pairs at most, so a match keeps this many, whatever the item of the class.
+        chosen = np.flatnonzero((piece_size >= low) & (piece_size < high))
+        if len(chosen):
+            start, count, item = piece_start[chosen], piece_size[chosen], piece_item[chosen]
+            # An edit breaks two pairs at most, so a match keeps this many, whatever the piece of the class.
             need = min(int(m - 1 - 2 * int(m * EDITS)) for m in range(low, high))
             span = max(m + int(m * EDITS) for m in range(low, high))
             steps = 2 * low
             coins = rng.integers(0, 1 << 63, (MOST_KEYS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             places = np.sort(np.stack([rng.choice(steps, PLACES, False) for _ in range(MOST_KEYS)]), 1)
-            tried = [i for i in rng.permutation(items)[:60] for _ in range(4)]
-            copies = [_edited(rng, words[bounds[i] : bounds[i + 1]], int(rng.integers(int(size[i] * EDITS) + 1))) for i in tried]
-            flat = np.concatenate(copies)
-            ends = np.cumsum([len(c) for c in copies])
-            ours = walk_keys(words, bounds[tried], bounds[np.array(tried) + 1], coins, places)
-            theirs = walk_keys(flat, ends - [len(c) for c in copies], ends, coins, places)
-            reached = np.maximum.accumulate(ours == theirs, 0).mean(1)
-            used = int(np.argmax(reached >= RECALL)) + 1 if (reached >= RECALL).any() else MOST_KEYS
-            kind = SizeClass(low, span, max(need, 1), items, coins[:used], places[:used])
-            keys = walk_keys(words, bounds[items], bounds[items + 1], kind.coins, kind.places).ravel()
-            owners = np.tile(items, used)
-            order = np.argsort(keys, kind="stable")
-            distinct, first = np.unique(keys[order], return_index=True)
-            kind.index, kind.heads, kind.owners = HashIndex(distinct), np.append(first, len(keys)), owners[order]
-            classes.append(kind)
+            reached = _reached(rng, words, start, count, coins, places) >= RECALL
+            exact = not reached.any()
+            used = 0 if exact else int(np.argmax(reached)) + 1
+            if exact:
+                owners = np.repeat(chosen, count - 1)
+                keys = all_pairs[_flat(start, count - 1)]
+                _, once = np.unique(np.stack([keys, owners.astype(np.uint64)]), axis=1, return_index=True)
+                keys, owners = keys[once], owners[once]
+                slack[item] = np.maximum(slack[item], span)
+            else:
+                keys = walk_keys(words, start, start + count, coins[:used], places[:used]).ravel()
+                owners = np.tile(chosen, used)
+            whole = item[size[item] == count]
+            reach[whole] = span
+            classes.append(SizeClass(span, max(need, 1), coins[:used], places[:used], exact, *_grouped(keys, owners)))
+        low = high
+    return Matcher(ids, words, bounds, HashIndex(pairs), classes, piece_item, piece_offset, reach, slack)
+
+
+def _met(kind: SizeClass, words: np.ndarray, ends: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Starts whose keys meet those of pieces, and these."""
+    for low in range(0, len(start), 4096):
+        part = start[low : low + 4096]
+        place = kind.index.find(walk_keys(words, part, ends[part], kind.coins, kind.places).ravel())
+        for flat in np.flatnonzero(place >= 0):
+            yield int(part[flat % len(part)]), np.unique(kind.owners[kind.heads[place[flat]] : kind.heads[place[flat] + 1]])
+
+
+PAIR_ROWS = 1 << 22  # occurrences of pairs that are counted at once, about
+
+
+def _counted(kind: SizeClass, pairs: np.ndarray, doc: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The same for classes without keys: the first of as many pairs of a piece as any match has."""
+    at = np.flatnonzero(hit)
+    place = kind.index.find(pairs[at])
+    at, place = at[place >= 0], place[place >= 0]
+    n = kind.heads[place + 1] - kind.heads[place]
+    low, sums = 0, np.cumsum(n)
+    while low < len(at):
+        # Whole documents; a longer one passes whole.
+        high = int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIR_ROWS, "right"))
+        last = doc[at[min(high, len(at) - 1)]] if high < len(at) else doc[at[-1]] + 1
+        high = int(np.searchsorted(doc[at], last))
+        high = high if high > low else int(np.searchsorted(doc[at], doc[at[low]], "right"))
+        position = np.repeat(at[low:high], n[low:high])
+        piece = kind.owners[_flat(kind.heads[place[low:high]], n[low:high])]
+        order = np.lexsort((position, piece))
+        position, piece = position[order], piece[order]
+        i = np.arange(len(position) - kind.need + 1)
+        j = i + kind.need - 1
+        found = (piece[i] == piece[j]) & (position[j] - position[i] < kind.span) & (doc[position[i]] == doc[position[j]])
+        for k in np.flatnonzero(found):
+            yield int(position[k]), piece[k : k + 1]
         low = high
-    return Matcher(ids, words, bounds, HashIndex(pairs), classes)
 
 
 def matches(matcher: Matcher, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -162,32 +246,33 @@ def matches(matcher: Matcher, words: np.ndarray, bounds: np.ndarray) -> Iterator
     if len(words) < 2:
         return
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs = _pairs(words)
     hit = np.zeros(len(words), bool)
-    hit[:-1] = matcher.pairs.find(_pairs(words)) >= 0
+    hit[:-1] = matcher.pairs.find(pairs) >= 0
     hit[:-1] &= doc[1:] == doc[:-1]
     if not hit.any():
         return
     sums = np.concatenate([[0], np.cumsum(hit)])
     ends = bounds[1:][doc]
-    done: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    done: dict[tuple[int, int], set[int]] = {}
     for kind in matcher.classes:
-        stop = np.minimum(np.arange(len(words)) + kind.span, ends)
-        start = np.flatnonzero(sums[stop] - sums[:-1] >= kind.need)
-        for low in range(0, len(start), 4096):
-            part = start[low : low + 4096]
-            keys = walk_keys(words, part, ends[part], kind.coins, kind.places)
-            place = kind.index.find(keys.ravel())
-            for flat in np.flatnonzero(place >= 0):
-                begin = int(part[flat % len(part)])
-                for item in np.unique(kind.owners[kind.heads[place[flat]] : kind.heads[place[flat] + 1]]):
-                    done.setdefault((int(doc[begin]), int(item)), []).append((begin, kind.span))
+        if kind.exact:
+            met = _counted(kind, pairs, doc, hit)
+        else:
+            stop = np.minimum(np.arange(len(words)) + kind.span, ends)
+            met = _met(kind, words, ends, np.flatnonzero(sums[stop] - sums[:-1] >= kind.need))
+        for begin, owners in met:
+            for piece in owners:
+                item = int(matcher.piece_item[piece])
+                done.setdefault((int(doc[begin]), item), set()).add(begin - int(matcher.piece_offset[piece]))
     for (d, item), found in sorted(done.items()):
         own = matcher.words[matcher.bounds[item] : matcher.bounds[item + 1]].tolist()
-        allowed, best, checked = int(len(own) * EDITS), None, -1
-        for begin, span in sorted(set(found)):
-            if begin < checked:
+        allowed, best, checked = int(len(own) * EDITS), None, None
+        span, slack = int(matcher.reach[item]), int(matcher.slack[item])
+        for begin in sorted(found):
+            if checked is not None and begin < checked:
                 continue
-            low = max(begin - allowed, int(bounds[d]))
+            low = max(begin - allowed - slack, int(bounds[d]))
             high = min(begin + 2 * span + allowed, int(bounds[d + 1]))
             edits, last = edit_distance(own, words[low:high].tolist())
             # Starts up to half an item further lie in the part just read.
@@ -204,15 +289,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     Words are lower-cased and without punctuation.  An item is found where some
     part of the whole text is at most EDITS of its words away.  Candidates are
     starts whose next words hold as many word pairs of the benchmark as any match
-    must; their keys are looked up among the keys of the items, and what meets is
-    verified exactly.  A pair of document and item stands once, with the fewest
-    edits.  Null and empty texts, and items of fewer than LEAST_WORDS words, match
+    must; their keys are looked up among the keys of the items, or of the pieces of
+    long ones, and what meets is verified exactly.  Where a size has no keys that
+    reach RECALL, the word pairs of each piece are counted instead.  A pair of
+    document and item stands once, with the fewest edits.  Null and empty texts, and items of fewer than LEAST_WORDS words, match
     nothing; repeated rows are one; ids may be null.  Items are sent to the tasks
-    in blocks of about BLOCK_ITEMS, one pass over the documents each.
+    in blocks of about BLOCK_ITEMS or BLOCK_BYTES, one pass over the documents each.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text is not null")
-    n_blocks = -(-items.count() // BLOCK_ITEMS)
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = []
     for block in range(n_blocks):

@@ -6,10 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from semcat.llm import decontaminate
+from semcat.llm.common import as_texts, bytes_of
 from semcat.llm.decontaminate import contaminated, edit_distance, without_contaminated
 from semcat.llm.katz import backoff_weights, discounts, katz_scores
 from semcat.llm.langid import fit_tagger, identify
@@ -188,6 +191,47 @@ def test_decontamination(spark, docs, none, rows):
     assert left.columns == docs.columns and left.count() == len(rows) - 1
 
 
+def long_copies(size, n, even):
+    """Items of so many words and texts that hold a copy of each with all allowed edits."""
+    items, texts = [], []
+    for i in range(n):
+        words = [f"w{x}" for x in RNG.integers(0, 1 << 40, size)]
+        copy, allowed = list(words), int(size * decontaminate.EDITS)
+        # Spread evenly, or all in front: the rest of the copy is whole.
+        for at in (RNG.choice(size, allowed, False) if even else np.arange(allowed)):
+            copy[at] = f"n{RNG.integers(0, 1 << 40)}"
+        items.append(" ".join(words))
+        texts.append(" ".join([f"x{x}" for x in RNG.integers(0, 1 << 40, 50)] + copy + ["end"] * 40))
+    return items, texts
+
+
+def found_in(items, texts):
+    matcher = decontaminate.build_matcher(list(range(len(items))), items)
+    words, bounds = decontaminate.words_and_bounds(*bytes_of(as_texts(pa.array(texts, pa.large_string()))))
+    return {(d, i): e for d, i, e, _ in decontaminate.matches(matcher, words, bounds)}
+
+
+@pytest.mark.parametrize("size", [275, 800, 1500])
+@pytest.mark.parametrize("even", [True, False])
+def test_long_items(size, even):
+    items, texts = long_copies(size, 8, even)
+    assert found_in(items, texts) == {(i, i): int(size * 0.2) for i in range(8)}
+
+
+@pytest.mark.parametrize("size", [5, 20, 60, 300])
+def test_sizes_without_keys(monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "RECALL", 2.0)
+    monkeypatch.setattr(decontaminate, "PAIR_ROWS", 50)
+    items, texts = long_copies(size, 30, True)
+    assert found_in(items, [*texts, "short", "", " ".join(texts[:3])]) == {(i, i): int(size * 0.2) for i in range(30)} | {(32, i): int(size * 0.2) for i in range(3)}
+
+
+def test_blocks_of_items(spark, docs, rows, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(rows[i][1].split()[3:23])) for i in range(8)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(i, i) for i in range(8)}
+
+
 def test_edit_distance():
     for _ in range(200):
         a, b = RNG.integers(0, 4, RNG.integers(1, 9)).tolist(), RNG.integers(0, 4, RNG.integers(0, 15)).tolist()
