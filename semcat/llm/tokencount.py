@@ -147,7 +147,7 @@ def frequent_pretokens(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, si
         for pair in kept.value_counts().to_pylist():
             tally[pair["values"]] += pair["counts"]
     chosen = [w for w, _ in sorted(tally.items(), key=lambda kv: (-kv[1], kv[0]))[:size]]
-    return pa.array(chosen, pa.string()), Counts(path).of_pieces(chosen).astype(np.uint16)
+    return pa.array(chosen, pa.string()), Counts(path).of_pieces(chosen)
 
 
 def count_tokens(docs: DataFrame, path: str = WORD_BPE) -> DataFrame:

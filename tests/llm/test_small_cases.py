@@ -299,6 +299,13 @@ def test_tokens(docs, none, rows):
     assert whole.of_texts(*bytes_of(as_texts(pa.array(texts)))).tolist() == want
 
 
+def test_tokens_of_a_long_run(spark):
+    run = "".join(RNG.choice(list("bcdfghjklmnpqrstvwxz"), 400_000))
+    out = count_tokens(table(spark, [(1, run, "en", "s0"), (2, f"{run} end", "en", "s0"), (3, "end", "en", "s0")]))
+    want = Counts(WORD_BPE).whole([run, f"{run} end", "end"])
+    assert want[0] > 65_535 and [r.n_tokens for r in out.orderBy("doc_id").collect()] == want
+
+
 def test_vectors(spark):
     base = RNG.normal(size=(40, 16))
     vectors = np.concatenate([base, base[:10] + RNG.normal(size=(10, 16)) * 0.02, np.repeat(base[:1], 20, 0), base[1:3] * 7])
