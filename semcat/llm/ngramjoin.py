@@ -171,21 +171,22 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     unique = copies.select("key1", "key2", "n_shingles", "one.doc_id", "one.least", "one.ids")
 
     grouped = unique.groupBy("n_shingles", "ids").agg(F.min("doc_id").alias("gid"), F.first("least").alias("least"), F.count("*").alias("size"))
-    groups = stored(grouped, "groups")
+    # Texts of one doc_id may be in several groups; key tells these apart.
+    groups = stored(grouped.withColumn("key", F.xxhash64("ids")), "groups")
     several = groups.where("size > 1")
     member = unique.join(several.select("n_shingles", "ids", "gid"), ["n_shingles", "ids"], "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
     members = stored(member, "members")
-    index = groups.select(F.posexplode("ids").alias("pos", "id"), "gid", "n_shingles", "least", F.size("ids").alias("reach"))
+    index = groups.select(F.posexplode("ids").alias("pos", "id"), "gid", "key", "n_shingles", "least", F.size("ids").alias("reach"))
     shared = index.groupBy("id").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("id")
     # Lists of one group go.  Ids of a group in front of a shared one that stand in
     # no other list are in no set that has the shared one: they bound the overlap.
-    own = Window.partitionBy("gid")
+    own = Window.partitionBy("gid", "n_shingles", "key")
     listed = (
         index.join(shared.hint("shuffle_hash"), "id")
         .withColumn("lone", F.col("pos") + 1 - F.row_number().over(own.orderBy("pos")))
         .withColumn("recent", F.collect_list("id").over(own.orderBy("pos").rowsBetween(-RECENT, -1)))
         .withColumn("all_lone", F.col("reach") - F.count("*").over(own))
-        .drop("pos", "reach")
+        .drop("pos", "reach", "key")
     )
     listed = stored(listed, "lists")
     free_shuffles(spark)

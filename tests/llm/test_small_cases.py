@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semcat.llm import decontaminate
+from semcat.llm import decontaminate, ngramjoin
 from semcat.llm.common import as_texts, bytes_of
 from semcat.llm.decontaminate import contaminated, edit_distance, without_contaminated
 from semcat.llm.katz import backoff_weights, discounts, katz_scores
@@ -104,6 +104,23 @@ def test_mixing_comes_near(spark):
     assert (abs(out.taken - out.target) <= 0.01 * out.target + 2).all()
 
 
+def test_near_copies_of_one_of_several_texts(spark, monkeypatch):
+    # Any order of shingles gives the same links; here that of their hashes.
+    monkeypatch.setattr(ngramjoin, "frequent_shingles", lambda docs, words: ngramjoin.ShingleOrder(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    rows = []
+    for c in range(300):
+        w = [f"c{c}w{k}" for k in range(200)]
+        y, z = w[:100], w[:199] + ["other"]
+        y[50], y[55] = "new", f"c{c}new"
+        x = [f"c{c}x{k}" for k in range(100)]
+        # The lists' central groups, of 0 and 1, are of another size; the short text of 2 has shingles of 3 that its long text lacks.
+        rows += [(10 * c, w), (10 * c, x), (10 * c + 1, z), (10 * c + 1, [*x[:99], "other"])]
+        rows += [(10 * c + 2, w[:100]), (10 * c + 2, y[46:60]), (10 * c + 3, y)]
+    out = near_copies(table(spark, [(i, " ".join(x), "en", "s") for i, x in rows])).toPandas()
+    want = {i: i - i % 10 + (0 if i % 10 < 2 else 2) for i, _ in rows}
+    assert dict(zip(out.doc_id, out.component_id)) == want
+
+
 def brute_components(rows, words, percent):
     sets = []
     for i, text, *_ in rows:
