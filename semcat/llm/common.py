@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,6 +87,15 @@ def hashed_sample(df: DataFrame, bound: int, salt: str, total: int | None = None
     return kept.orderBy(F.pmod(place, F.lit(1 << 40)), *(c for c in df.columns if c == "text")).limit(bound)
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task.
+
+    Functions travel to workers by value, without a module that could keep it; a
+    cached function would travel by name, and workers need no installed copy.
+    """
+    return vars(sys).setdefault("_kept_by_worker", {})
+
+
 def _release_memory() -> None:
     """Gives freed memory back to the system: a worker outlives its tasks, beside others."""
     pa.default_memory_pool().release_unused()
@@ -190,13 +199,15 @@ def mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-@functools.cache
-def _letters() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    kept = worker_cache()
+    if ("powers", bits) not in kept:
+        kept["powers", bits] = _new_powers(bits)
+    return kept["powers", bits]
 
 
-@functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _new_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
     ones = np.full(1 << bits, _ODD), np.full(1 << bits, inverse)
     for array in ones:
@@ -213,7 +224,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int
         base, top = start[low], end[high - 1]
         power, inverse = _powers(max(18, int(top - base).bit_length()))
         sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(_letters()[data[base:top]] * power[: top - base], out=sums[1:])
+        np.cumsum(_LETTERS[data[base:top]] * power[: top - base], out=sums[1:])
         s, e = start[low:high] - base, end[low:high] - base
         out[low:high] = (sums[e] - sums[s]) * inverse[s]
         low = high

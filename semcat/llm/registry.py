@@ -10,13 +10,16 @@ from semcat.llm.common import remainder, stored
 from semcat.llm.decontaminate import contaminated
 from semcat.llm.katz import katz_scores
 from semcat.llm.langid import fit_tagger, identify
+from semcat.llm.merkle import document_manifest, folded, proof_digest
 from semcat.llm.mixing import mixing_plan
 from semcat.llm.neardup import similar_vectors
 from semcat.llm.ngramjoin import near_copies
 from semcat.llm.oracles import ORACLES
 from semcat.llm.quality import document_statistics, fit_quality, score_quality
+from semcat.llm.spelling import spelling_variants
 from semcat.llm.suffixdedup import without_repeats
 from semcat.llm.tokencount import WORD_BPE, count_tokens
+from semcat.llm.topksearch import top_inner_products
 from semcat.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -100,6 +103,25 @@ def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that it gives after tampering."""
+    doc_id = F.col("doc_id").cast("string")
+    tampered = F.when(F.crc32(doc_id) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = document_manifest(_table(spark, sf_dir, "documents"), tampered)
+    proved = found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded(F.col("changed_leaf"), F.col("path")).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the more frequent spelling of each, and where such spellings lead."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows for every hundredth embedding, by inner product."""
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
@@ -111,6 +133,9 @@ QUERIES = {
     "op8_fourier_quality": op8_fourier_quality,
     "op9_rotation_codes": op9_rotation_codes,
     "op10_interval_expansion": op10_interval_expansion,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_threshold_search": op13_threshold_search,
     "pipeline": corpus_pipeline.run,
 }
 

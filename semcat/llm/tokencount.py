@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +27,6 @@ _SPACE, _LETTER, _NUMBER, _OTHER, _RARE = range(5)
 _PLAIN = [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
 
 
-@functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Kind and lower case of each code point up to 0x20AC."""
     kind, lower = np.full(0x20AD, _RARE, np.uint8), np.arange(0x20AD, dtype=np.uint32)
@@ -42,22 +40,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
+_KIND_OF, _LOWER_OF = _tables()
+
+
 def pretokens(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Pieces of the lower-cased texts, pre-tokens and white space, the document of each; documents left to the library.
 
     Of the last, the pieces mean nothing.
     """
-    kind_of, lower_of = _tables()
     codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     at = heads[bounds]
     inside = np.minimum(codes, 0x20AC)
-    kind = np.where(codes <= 0x20AC, kind_of[inside], _RARE)
+    kind = np.where(codes <= 0x20AC, _KIND_OF[inside], _RARE)
     rare = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(kind == _RARE, out=rare[1:])
     left = rare[at[1:]] > rare[at[:-1]]
-    low = np.where(kind == _RARE, 0x20, lower_of[inside]).astype(np.uint32)
+    low = np.where(kind == _RARE, 0x20, _LOWER_OF[inside]).astype(np.uint32)
 
     opens = np.ones(len(codes) + 1, bool)
     opens[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
@@ -99,7 +99,6 @@ class Counts:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def of_pieces(self, pieces: list[str]) -> np.ndarray:
-        kind_of, _ = _tables()
         out = np.zeros(len(pieces), np.int64)
         missing = []
         for i, piece in enumerate(pieces):
@@ -107,7 +106,7 @@ class Counts:
             if n is None:
                 n = self.seen.get(piece)
             if n is None:
-                if not piece or kind_of[ord(piece[0])] == _SPACE:
+                if not piece or _KIND_OF[ord(piece[0])] == _SPACE:
                     n = 0
                 else:
                     missing.append(i)
