@@ -50,7 +50,7 @@ def _numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
     return numbered.withColumn("i", (F.col("inside") + F.coalesce("offset", F.lit(0))).cast("long")).drop("part", "inside", "offset")
 
 
-def _tier(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _tier(nodes: DataFrame, levels: int) -> DataFrame:
     """Nodes (key, i, node) with block, path (siblings of all levels of the block) and top (the block's, at its first row).
 
     A single node of a key stays as it is; elsewhere every run, even of one, has a parent.
@@ -87,11 +87,11 @@ def _tier(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 def _tree(nodes: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
     """Nodes of numbered keys with path (up to the key's root); and (key, tree_root).  ``largest``: nodes of a key at most."""
-    tiers = [_tier(nodes)]
+    tiers = [_tier(nodes, LEVELS)]
     while largest > ARITY**LEVELS:
         largest = -(-largest // ARITY**LEVELS)
         tops = tiers[-1].where("at = 0").select("key", F.col("block").alias("i"), F.col("top").alias("node"))
-        tiers.append(_tier(stored(tops, "merkle_tier")))
+        tiers.append(_tier(stored(tops, "merkle_tier"), LEVELS))
     roots = stored(tiers[-1].where("at = 0").select("key", F.col("top").alias("tree_root")), "merkle_roots")
     above = None
     for tier in reversed(tiers):
