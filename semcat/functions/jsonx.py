@@ -1,14 +1,21 @@
-"""First-scalar lookup in the loosely typed JSON of the search API."""
+"""First-scalar lookup in the loosely typed JSON of the search API.
+
+Plain values - texts, whole numbers, lists of them, objects of them, lists of such
+objects - are looked up in the JVM, as variants.  Only what has another shape (mixed or
+deeper lists, fractions, booleans, repeated keys) goes to the Python walk.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semcat.functions.text import normalise_string
+
 # The keys tried inside an object, in this order.
 VALUE_KEYS = ("code", "id", "value", "label", "text", "name", "content")
 
@@ -39,30 +46,63 @@ def _parsed(batch: pa.Array) -> Iterator:
     return (None if text is None else json.loads(text) for text in batch.to_pylist())
 
 
-def json_first(c: Column) -> Column:
-    """First scalar of a JSON text."""
+# Shapes, as schema_of_variant names them, that need no Python.
+_ONE = "(STRING|BIGINT|VOID)"
+_OBJECT = rf"OBJECT<(\w+: {_ONE}(, )?)*>"
+_SCALAR, _LIST, _FIELDS, _ROWS = (f"^{x}$" for x in (_ONE, f"ARRAY<{_ONE}>", _OBJECT, f"ARRAY<{_OBJECT}>"))
+_PLAIN = "|".join((_SCALAR, _LIST, _FIELDS, _ROWS))
+_VALUES = "struct<" + ",".join(f"{key}:string" for key in VALUE_KEYS) + ">"
 
-    @F.arrow_udf("string")
-    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([first_scalar(v) for v in _parsed(batch)], pa.string())
 
-    return first(c)
+def _plain_list(value: Column, shape: Column) -> Column:
+    """First scalars of the entries of a variant of plain shape; nothing and null are the empty list."""
 
+    def as_type(kind: str) -> Column:
+        return F.try_variant_get(value, "$", kind)
 
-def json_scalars(c: Column) -> Column:
-    """List form of :func:`json_first`; null gives the empty list."""
+    def of_object(fields: Column) -> Column:
+        return F.coalesce(*[normalise_string(fields[key]) for key in VALUE_KEYS])
 
-    @F.arrow_udf("array<string>")
-    def scalars(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    found = (
+        F.when(shape.rlike(_SCALAR), F.array(normalise_string(as_type("string"))))
+        .when(shape.rlike(_LIST), F.transform(as_type("array<string>"), normalise_string))
+        .when(shape.rlike(_FIELDS), F.array(of_object(as_type(_VALUES))))
+        .when(shape.rlike(_ROWS), F.transform(as_type(f"array<{_VALUES}>"), of_object))
+    )
+    return F.array_compact(F.coalesce(found, F.array().cast("array<string>")))
+
+
+def _odd(parsed: Column, shape: Column, text: Column) -> Column:
+    """Texts that the variant does not stand for, or of another shape; a broken text is left to the walk, which raises."""
+    return text.isNotNull() & (parsed.isNull() | ~F.coalesce(shape.rlike(_PLAIN), F.lit(True)))
+
+
+def _single(c: Column, native: Callable[[Column], Column], walk: Callable, kind: str) -> Column:
+    @F.arrow_udf(kind)
+    def walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([scalar_list(v) for v in _parsed(batch)], pa.list_(pa.string()))
+            yield pa.array([None if v is None else walk(json.loads(v)) for v in batch.to_pylist()], arrow)
+
+    arrow = pa.string() if kind == "string" else pa.list_(pa.string())
+    parsed = F.try_parse_json(c)
+    shape = F.schema_of_variant(parsed)
+    odd = _odd(parsed, shape, c)
+    # A null argument costs the worker nothing.
+    return F.when(odd, walked.asNondeterministic()(F.when(odd, c))).otherwise(native(_plain_list(parsed, shape)))
+
 
-    return scalars(c)
+def json_first(c: Column) -> Column:
+    """First scalar of a JSON text."""
+    return _single(c, lambda found: F.get(found, F.lit(0)), first_scalar, "string")
+
+
+def json_scalars(c: Column) -> Column:
+    """List form of :func:`json_first`; null gives the empty list."""
+    return _single(c, lambda found: found, scalar_list, "array<string>")
 
 
 def json_fields(c: Column, scalars: dict[str, str], lists: dict[str, str]) -> Column:
-    """Several lookups into one JSON object in one pass, as a struct.
+    """Several lookups into one JSON object by the Python walk, as a struct.
 
     ``scalars`` and ``lists`` map an output field to a dotted path.
     """
@@ -93,3 +133,35 @@ def json_fields(c: Column, scalars: dict[str, str], lists: dict[str, str]) -> Co
 
     # Else a filter on a field would be pushed below the lookup, which then runs twice.
     return fields.asNondeterministic()(c)
+
+
+def with_json_fields(df: DataFrame, column: str, scalars: dict[str, str], lists: dict[str, str]) -> DataFrame:
+    """``df`` with a column per lookup into the JSON object of ``column``, read once.
+
+    Equal to :func:`json_fields`, whose walk sees only the objects that hold a value of
+    another than plain shape in one of the paths.  Null objects give nulls.
+    """
+    parsed, walked, c = "json__parsed", "json__walked", F.col
+    paths = sorted({*scalars.values(), *lists.values()})
+    at = {path: f"json__{i}" for i, path in enumerate(paths)}
+    steps = df.select("*", F.try_parse_json(column).alias(parsed))
+    # Separate steps keep each from being computed once per reference.
+    values = [F.try_variant_get(parsed, f"$.{path}", "variant").alias(name) for path, name in at.items()]
+    steps = steps.select("*", *values)
+    steps = steps.select("*", *[F.schema_of_variant(name).alias(f"{name}s") for name in at.values()])
+    plain = [F.coalesce(c(f"{name}s").rlike(_PLAIN), F.lit(True)) for name in at.values()]
+    odd = c(column).isNotNull() & (c(parsed).isNull() | ~F.forall(F.array(*plain), lambda p: p))
+    steps = steps.select(
+        "*",
+        *[_plain_list(c(name), c(f"{name}s")).alias(f"{name}l") for name in at.values()],
+        json_fields(F.when(odd, c(column)), scalars, lists).alias(walked),
+    )
+
+    given = c(column).isNotNull() & ~F.is_variant_null(c(parsed))
+
+    def field(name: str, native: Column) -> Column:
+        return F.when(c(walked).isNotNull(), c(walked)[name]).when(given, native).alias(name)
+
+    found = [field(n, F.get(c(f"{at[p]}l"), F.lit(0))) for n, p in scalars.items()]
+    found += [field(n, c(f"{at[p]}l")) for n, p in lists.items()]
+    return steps.select(*df.columns, *found)

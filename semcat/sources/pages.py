@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.functions.jsonx import json_fields
-from semcat.operators.normalise import ALLOWED_STATUS
+from semcat.functions.jsonx import with_json_fields
+from semcat.operators.normalise import REQUEST_LISTS, is_requested
 from semcat.schema import ORDER_COLUMN
 
-# Items per page and the conditions the API is asked to apply.
+# Fixed value: items per page.
 PAGE_SIZE = 50
-ITEM_TYPES = ("1", "2")
-ITEM_LANGUAGES = ("en",)
 _POSITION_BITS = 1 << 20
 
 
@@ -74,24 +72,8 @@ def page_items(parsed: DataFrame) -> DataFrame:
 def requested_items(items: DataFrame) -> DataFrame:
     """The conditions sent with the request, for landed data that is broader.
 
-    A condition holds for an item when one of its values is asked for; the
-    order by status is what the page order already reflects.
+    The order by status is what the page order already reflects.
     """
-
-    def one_of(values: Column, allowed: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(values, F.array(*[F.lit(v) for v in allowed]))
-
-    fields = json_fields(
-        F.col("item"),
-        {"status": "metadata.status"},
-        {"type": "metadata.type", "language": "language"},
-    )
-    return (
-        items.withColumn("asked", fields)
-        .filter(
-            one_of(F.col("asked.type"), ITEM_TYPES)
-            & F.col("asked.status").isin(*ALLOWED_STATUS)
-            & one_of(F.col("asked.language"), ITEM_LANGUAGES)
-        )
-        .drop("asked")
-    )
+    fields = {"asked_status": "metadata.status"}
+    asked = is_requested(F.col("asked_type"), F.col("asked_status"), F.col("asked_language"))
+    return with_json_fields(items, "item", fields, REQUEST_LISTS).filter(asked).drop(*fields, *REQUEST_LISTS)

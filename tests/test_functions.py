@@ -197,3 +197,41 @@ def test_cosine(one):
     got = one(lambda v: cosine_with(v, [3.0, 4.0]), v=("array<float>", [4.0, 3.0]))
     assert got == pytest.approx(0.96)
     assert one(lambda v: cosine_with(v, [3.0, 4.0]), v=("array<float>", [0.0, 0.0])) == 0.0
+
+
+# Values that the variant cannot stand for as they are, beside plain ones.
+ODD_JSON = [
+    '{"a": 1.5, "b": [1, 2]}', '{"a": 1e2, "b": 1.0}', '{"a": true, "b": [false, "x"]}', '{"a": [[["deep"]], "x"], "b": [["p"], "q"]}',
+    '{"a": "one", "a": "two", "b": {"code": "x", "code": "y"}}', '{"a": {"code": {"id": " ", "value": 7}}, "b": [{"label": ["l"]}]}',
+    '{"a": 123456789012345678901234567890, "b": -0}', '{"a": [null, 1, "t"], "b": ["s", 3]}', '{"a": [], "b": {}}', '{"a": {"x": "no"}, "b": [{}]}', '[{"a": "list"}]', '"text"', "null", "5",
+    '{"a": NaN, "b": "x"}', '{"a": "\\u00a0 pad\\u2003", "b": [" ", "\\t", "z "]}', '{"a": {"code": 7, "id": "i"}, "b": [{"name": " "}, {"text": "t", "other": 1}]}',
+    '{"b": ["only"]}', '{"a": {"we ird: STRING, code": "k", "content": "c"}, "b": null}', '{"a": {"code": null, "label": "l"}, "b": [null, null]}', "{}",
+]
+
+
+def test_variant_lookup_equals_the_walk(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD_JSON, None])], "i long, t string")
+    scalars, lists = {"x": "a", "y": "a.code"}, {"z": "b", "w": "a"}
+    native = jsonx.with_json_fields(frame, "t", scalars, lists).orderBy("i").collect()
+    walked = frame.select("i", "t", jsonx.json_fields(F.col("t"), scalars, lists).alias("f")).select("i", "t", "f.*").orderBy("i").collect()
+    assert native == walked
+    alone = frame.select("i", jsonx.json_first(F.col("t")).alias("x"), jsonx.json_scalars(F.col("t")).alias("z")).orderBy("i").collect()
+    for row, text in zip(alone, [*ODD_JSON, None]):
+        value = None if text is None else json.loads(text)
+        assert (row["x"], row["z"]) == (jsonx.first_scalar(value), jsonx.scalar_list(value))
+
+
+def test_broken_json_raises(spark):
+    broken = spark.createDataFrame([('{"a": ',)], "t string")
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        jsonx.with_json_fields(broken, "t", {"x": "a"}, {}).collect()
+
+
+def test_plain_items_stay_in_the_jvm(spark):
+    """Nothing but odd objects reaches the worker: a walk that fails on anything else is never called."""
+    plain = '{"a": {"value": " v", "label": " "}, "b": ["x", null, "y"], "n": 5}'
+    frame = spark.createDataFrame([(plain,), (None,)], "t string")
+    found = jsonx.with_json_fields(frame, "t", {"x": "a", "n": "n"}, {"z": "b"})
+    sent = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in sent and "ArrowEvalPython" in sent
+    assert [tuple(r)[1:] for r in found.collect()] == [("v", "5", ["x", "y"]), (None, None, None)]

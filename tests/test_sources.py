@@ -1,7 +1,10 @@
 """Sources, sinks and the vector store on storage."""
 
 import json
+import os
+import threading
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semcat.schema import CALL_SCHEMA, ORDER_COLUMN
-from semcat.sources import catalogue, pages, snapshots
-from semcat.sources.store import VectorStore
+from semcat.sources import catalogue, pages, paths, snapshots
+from semcat.sources import store as store_module
+from semcat.sources.store import CommitConflict, VectorStore
 
 DUMP = T.StructType([T.StructField("id_hash", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))])
 
@@ -236,3 +240,78 @@ def test_page_without_a_number_is_an_error(spark, tmp_path):
     (tmp_path / "pages.jsonl").write_text('{"page": 1, "results": []}\n{"results": []}\n')
     with pytest.raises(Exception, match="no number"):
         pages.read_page_files(spark, str(tmp_path / "pages.jsonl"), per_line=True).collect()
+
+
+def test_put_if_absent_lets_one_of_many_writers_through(spark, tmp_path):
+    """All pass any check of existence: every writer starts from an empty folder at the same moment."""
+    path = f"{tmp_path}/log/v=1.json"
+    ready = threading.Barrier(8)
+
+    def write(n):
+        ready.wait()
+        return paths.put_if_absent(spark, path, f"writer {n}" * 500)
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(write, range(8)))
+    assert sum(won) == 1 and paths.read_text(spark, path) == f"writer {won.index(True)}" * 500
+    assert paths.put_if_absent(spark, path, f"writer {won.index(True)}" * 500)  # the winner tries again
+    assert os.listdir(tmp_path / "log") == ["v=1.json"]
+
+
+def test_put_replaces(spark, tmp_path):
+    for text in ("one", "two ü"):
+        paths.put(spark, f"{tmp_path}/hint", text)
+        assert paths.read_text(spark, f"{tmp_path}/hint") == text
+    assert paths.read_text(spark, f"{tmp_path}/none") is None and paths.file_names(spark, f"{tmp_path}/none") == []
+
+
+def test_racing_writers_leave_one_record(spark, tmp_path):
+    stores = [VectorStore.open(spark, str(tmp_path), "m", 2) for _ in range(4)]
+    ready = threading.Barrier(4)
+
+    def commit(store):
+        store.write_part("points", 2, points(spark, (str(id(store)), 0, 1)))
+        store.write_part("payload", 2, payload(spark, (str(id(store)), "x")))
+        ready.wait()
+        try:
+            return store.commit("upsert", 2, ["points", "payload"])
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(commit, stores))
+    assert sorted(d is not None for d in done) == [False, False, False, True]
+    winner = str(id(stores[[d is not None for d in done].index(True)]))
+    for store in (*stores, VectorStore.open(spark, str(tmp_path), "m", 2)):
+        assert [r["uuid"] for r in store.points().collect()] == [winner] and len(store.commits()) == 2
+
+
+def test_opening_costs_the_same_after_many_versions(spark, tmp_path, monkeypatch):
+    """Foldings every 50 versions: calls to the file system and folders read do not grow."""
+    calls = []
+    for name in ("subfolders", "file_names", "read_text"):
+        real = getattr(paths, name)
+        monkeypatch.setattr(store_module, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    costs = []
+    writer = VectorStore.open(spark, str(tmp_path), "m", 2)
+    for version in range(2, 260):
+        folding = version % 50 == 0
+        writer._commit(version, "compact" if folding else "upsert", "m", 2, f"b{version}", batches=[f"b{v}" for v in range(2, version)] if folding else None)
+        if folding:
+            paths.put(spark, f"{tmp_path}/commits/_folded", str(version))
+        if version in (52, 102, 152, 252):
+            calls.clear()
+            reader = VectorStore.open(spark, str(tmp_path), "m", 2)
+            costs.append(len(calls))
+            assert [r["version"] for r in reader.commits()] == [version - 2, version - 1, version]
+            assert reader.has_batch("b2") and reader.has_batch(f"b{version}") and reader.next_version() == version + 1
+    assert max(costs) <= 8 and costs[-1] <= costs[0] + 1
+
+
+def test_lost_hint_changes_nothing(spark, tmp_path):
+    store = VectorStore.open(spark, str(tmp_path), "m", 2)
+    store.upsert(points(spark, ("a", 0, 1)), payload(spark, ("a", "A")), batch="b1")
+    store.compact()
+    (tmp_path / "commits" / "_folded").unlink()
+    again = VectorStore.open(spark, str(tmp_path), "m", 2)
+    assert state(again) == state(store) and again.has_batch("b1") and len(again.commits()) == 1
