@@ -70,7 +70,7 @@ _POINTS = f"""points AS (
 _RANKED = f"""{_POINTS},
 scored AS (
   SELECT CAST(q.vec_id AS VARCHAR) AS qid, p.uuid, p.vec_id, p.label,
-    round(list_cosine_similarity(p.v, q.v), 12) AS score FROM points p, points q),
+    round(list_cosine_similarity(p.v, q.v), 12) AS score FROM points p, points q WHERE q.vec_id % 20 = 0),
 ranked AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uuid) AS rank FROM scored)
   WHERE rank <= {K})"""

@@ -576,7 +576,7 @@ def q_topk_batch(spark, sf):
 @query
 def q_topk_blocked(spark, sf):
     """The same search by the way that serves query tables too large to broadcast."""
-    hits = topk.top_k(stored_points(spark, sf), vector_queries(spark, sf), K, broadcast_bytes=64_000)
+    hits = topk.top_k(stored_points(spark, sf), vector_queries(spark, sf), K, broadcast_bytes=4_000)
     return hits.select("qid", c("rank").cast("long").alias("rank"), "uuid", F.round("score", 5).alias("score"))
 
 
