@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,6 @@ from semcat.operators.normalise import (
     kept_calls,
 )
 from semcat.schema import FACET_COLUMNS
-from semcat.session import work_dir
 from semcat.sources.catalogue import (
     read_archives,
     read_programmes,
@@ -28,8 +28,8 @@ from semcat.sources.pages import (
     page_items,
     parsed_pages,
     read_page_files,
-    requested_items,
 )
+from semcat.sources.paths import remove_folder, replace_folder
 from semcat.sources.snapshots import fresh_or_cached_calls
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -47,32 +47,32 @@ def clean_and_store(
 ) -> None:
     """Cleaned table, facet lists, then the table with ids, which readers wait for.
 
-    The cleaning runs once: what follows reads a written table.
+    The cleaning runs once and the wide table is written twice: as it is with ids, under
+    another name at first, and from that without them.
     """
     spark = programmes.sparkSession
-    cleaned = clean_programmes(programmes)
-    base = work_dir(spark, "cleaned") if source_column in drop else cleaned_path
-    write_programmes(cleaned, base)
-    written = read_programmes(spark, base)
-    if base != cleaned_path:
-        write_programmes(written, cleaned_path, drop)
     facet_columns = tuple(facet_columns) or FACET_COLUMNS
-    write_facets(facet_values(written, facet_columns), facet_folder, facet_columns, facet_prefix)
-    write_programmes(with_uuid(written, source_column), uuid_path, drop)
+    staged = f"{uuid_path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        write_programmes(with_uuid(clean_programmes(programmes), source_column), staged, drop)
+        written = read_programmes(spark, staged)
+        write_programmes(written, cleaned_path, ("uuid",))
+        write_facets(facet_values(written, facet_columns), facet_folder, facet_columns, facet_prefix)
+        replace_folder(spark, staged, uuid_path)
+    finally:
+        remove_folder(spark, staged)
 
 
 def calls_of_pages(
-    pages: DataFrame, max_pages: int | None = None, asked_only: bool = False
+    pages: DataFrame, max_pages: int | None = None, asked_only: bool = True
 ) -> DataFrame:
     """Kept calls of (page, body) rows: cut, explode, look up, filter.
 
-    ``asked_only`` applies the request's conditions to pages that were landed
-    without them.
+    Only what the request asks for is kept; ``asked_only=False`` is for pages that
+    came from another request.
     """
     items = page_items(before_first_empty(parsed_pages(pages), max_pages))
-    if asked_only:
-        items = requested_items(items)
-    return kept_calls(items_to_calls(items)).drop("page")
+    return kept_calls(items_to_calls(items, asked_only=asked_only)).drop("page")
 
 
 def ingest_pages(
@@ -83,7 +83,7 @@ def ingest_pages(
     out: str,
     max_pages: int | None = None,
     per_line: bool = False,
-    asked_only: bool = False,
+    asked_only: bool = True,
 ) -> None:
     """Landed API pages to ``out``/cleaned, ``out``/uuid and facet lists."""
     calls = fresh_or_cached_calls(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from semcat.functions.ids import uuid5
 from semcat.schema import ORDER_COLUMN
+from semcat.sources import paths
 
 DIM = 64  # vector size of the embeddings table
 EVENTS_PER_PAGE = 25
@@ -176,6 +177,21 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(archives, "path string, content binary, position long")
 
 
+def land_archives(spark: SparkSession, rows: DataFrame, folder: str) -> str:
+    """``rows`` as dump archives, one per Parquet file, streamed; the pattern that finds them."""
+    rows.write.parquet(f"{folder}/unpacked")
+    files = paths.matching(spark, f"{folder}/unpacked/*.parquet")
+    for number, file in enumerate(files):
+        paths.pack_member(spark, file, "data.parquet", f"{folder}/zips/dump-{number:06d}.zip")
+    return f"{folder}/zips/*.zip"
+
+
+def land_pages(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Result pages as text files with one page a line."""
+    event_pages(spark, sf_dir).select("body").write.text(f"{folder}/landed")
+    return f"{folder}/landed"
+
+
 class CharacterCodec:
     """Tokens are code points."""
 

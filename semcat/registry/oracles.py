@@ -81,6 +81,17 @@ _ITEMS = f"""items AS (
     event_type <> 'view' AS english FROM events)"""
 _CALL_KEPT = "status <> '31094509' AND english"
 
+
+def _ingested(kept: str) -> str:
+    return f"""WITH {_ITEMS}, calls AS (
+  SELECT *, 'Event ' || event_type || ' of user ' || user_id AS full_text FROM items WHERE {kept})
+SELECT {uuid5("CAST(user_id AS VARCHAR)")} AS uuid, md5(CAST(user_id AS VARCHAR)) AS id_hash, 'EV-' || event_id AS id_url, 'N/A' AS title,
+  'event ' || event_type || chr(10) || chr(10) || full_text AS description, CAST(user_id AS VARCHAR) AS more_info,
+  event_type || '|u' || user_id AS funding_area, status = '31094503' AS deleted, 'event ' || event_type AS project_short_description,
+  strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '000' AS date_1, 'N/A' AS checksum
+FROM calls WHERE length(full_text) >= 25"""
+
+
 _TOPK = f"""WITH {_RANKED}
 SELECT qid, rank, uuid, round(score, 5) AS score FROM ranked"""
 
@@ -229,16 +240,12 @@ FROM items WHERE {_CALL_KEPT}""",
 FROM items GROUP BY page""",
     "q_json_snapshot": f"""WITH {_CALLS} SELECT id, title, call_id, status_code, description_html, summary,
   source || '|' || lang || '|' || source || '|ID-' || doc_id AS keywords FROM calls""",
-    "q_ingest_pages": f"""WITH {_ITEMS}, calls AS (
-  SELECT *, 'Event ' || event_type || ' of user ' || user_id AS full_text FROM items WHERE {_CALL_KEPT})
-SELECT {uuid5("CAST(user_id AS VARCHAR)")} AS uuid, md5(CAST(user_id AS VARCHAR)) AS id_hash, 'EV-' || event_id AS id_url, 'N/A' AS title,
-  'event ' || event_type || chr(10) || chr(10) || full_text AS description, CAST(user_id AS VARCHAR) AS more_info,
-  event_type || '|u' || user_id AS funding_area, status = '31094503' AS deleted, 'event ' || event_type AS project_short_description,
-  strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '000' AS date_1, 'N/A' AS checksum
-FROM calls WHERE length(full_text) >= 25""",
+    "q_ingest_pages": _ingested(_CALL_KEPT),
+    "q_ingest_asked_pages": _ingested(f"{_CALL_KEPT} AND event_type = 'click'"),
     "q_stream_calls": f"""WITH {_ITEMS} SELECT status AS status_code, count(*) AS n_calls, count(DISTINCT event_id) AS n_ids
 FROM items WHERE {_CALL_KEPT} GROUP BY status""",
     "q_zip_scan": "SELECT doc_id, lang, source, text FROM documents",
+    "q_read_archives": "SELECT doc_id, text FROM documents",
     "q_ingest_dump": f"""WITH {_PROGRAMMES} SELECT {uuid5("md5(url)")} AS uuid, md5(url) AS id_hash, {strip("title")} AS title,
   {strip("description")} AS description, 'N/A' AS project_short_description, {stamp("date_1")} AS date_1,
   coalesce(CAST(deleted AS VARCHAR), 'unknown') AS deleted FROM prog""",
@@ -274,6 +281,8 @@ SELECT (SELECT count(*) FROM existing WHERE uuid IN (SELECT uuid FROM gone)) AS
   (SELECT count(*) FROM fresh) - (SELECT count(*) FROM cut) AS without_vectors,
   (SELECT count(*) FROM prog WHERE uuid IS NULL) AS null_uuids""",
     "q_stream_refresh": f"WITH {_PROGRAMMES} SELECT uuid, description FROM prog WHERE NOT deleted AND regexp_matches(description, '\\S')",
+    "q_stream_points": f"""WITH {_PROGRAMMES}, toks AS (SELECT uuid, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT deleted)
+SELECT uuid, CAST(len({_STARTS.format(w=384, s=288)}) - 1 AS BIGINT) AS chunk_no FROM toks WHERE len(t) > 0""",
     "q_search_text": f"""WITH {_PROGRAMMES},
 toks AS (SELECT uuid AS id, regexp_extract_all(description, {_WORD}) AS t FROM prog WHERE NOT deleted),
 cuts AS (SELECT id, t, unnest({_STARTS.format(w=384, s=288)}) AS s FROM toks WHERE len(t) > 0),
@@ -338,3 +347,9 @@ SELECT qid, rank, {_HEADING} AS heading, m.full_description AS description, strf
 UNION ALL SELECT 'd' || doc_id, text FROM documents WHERE length(text) > 60""",
     "q_normalise_string": f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN nullif({strip("text")}, '') END AS text FROM conversations""",
 }
+
+# The store gives what the same search gives without one.
+ORACLES["q_search_store"] = ORACLES["q_search_text"]
+ORACLES["q_result_counts"] = f"""WITH found AS ({ORACLES["q_search_text"]}),
+asked AS (SELECT concat_ws('-', conv_id, turn) AS qid FROM conversations WHERE role = 'user' AND text <> '')
+SELECT a.qid, count(f.qid) AS n_results FROM asked a LEFT JOIN found f ON f.qid = a.qid GROUP BY a.qid"""

@@ -33,6 +33,8 @@ from semcat.registry.fixtures import (
     CharacterCodec,
     doc_uuid,
     event_pages,
+    land_archives,
+    land_pages,
     programmes,
     stored_ids,
     stored_points,
@@ -339,28 +341,38 @@ def q_json_snapshot(spark, sf):
     return calls.select("id", "title", "call_id", "status_code", "description_html", "summary", piped("keywords"))
 
 
-@query
-def q_ingest_pages(spark, sf):
-    """Landed pages to the stored table with ids."""
-    root = work_dir(spark, "ingest")
-    calls = ingest.calls_of_pages(event_pages(spark, sf), max_pages=None)
-    ingest.clean_and_store(
-        normalise.calls_to_programmes(calls), f"{root}/cleaned", f"{root}/uuid", "uuid_source_call_id",
-        f"{root}/facets", ("funding_area",), "eu_", ("uuid_source_call_id",),
-    )
-    return catalogue.read_programmes(spark, f"{root}/uuid").select(
+def _stored_calls(spark, root):
+    return catalogue.read_programmes(spark, f"{root}/out/uuid").select(
         "uuid", "id_hash", "id_url", "title", "description", "more_info", piped("funding_area"), "deleted",
         "project_short_description", stamp(c("date_1")).alias("date_1"), "checksum",
     )
 
 
+@query
+def q_ingest_pages(spark, sf):
+    """Landed pages of a broader request to the stored table with ids."""
+    root = work_dir(spark, "ingest")
+    landed = land_pages(spark, sf, root)
+    ingest.ingest_pages(spark, landed, f"{root}/cache", "b1", f"{root}/out", per_line=True, asked_only=False)
+    return _stored_calls(spark, root)
+
+
+@query
+def q_ingest_asked_pages(spark, sf):
+    """The request's own conditions; the next day's pages are missing and the cached calls stand in."""
+    root = work_dir(spark, "ingest")
+    landed = land_pages(spark, sf, root)
+    ingest.ingest_pages(spark, landed, f"{root}/cache", "b1", f"{root}/first", per_line=True)
+    ingest.ingest_pages(spark, f"{root}/nothing-landed", f"{root}/cache", "b2", f"{root}/out", per_line=True)
+    return _stored_calls(spark, root)
+
+
 @query
 def q_stream_calls(spark, sf):
     """The same pages normalised as a file stream."""
     root = work_dir(spark, "stream-calls")
-    event_pages(spark, sf).select("body").write.text(f"{root}/landed")
-    stream = calls_stream(spark, f"{root}/landed", f"{root}/calls", f"{root}/checkpoint", per_line=True)
-    stream.awaitTermination()
+    landed = land_pages(spark, sf, root)
+    calls_stream(spark, landed, f"{root}/calls", f"{root}/checkpoint", per_line=True, asked_only=False).awaitTermination()
     return spark.read.parquet(f"{root}/calls").groupBy("status_code").agg(
         F.count(lit(1)).alias("n_calls"), F.countDistinct("id").alias("n_ids")
     )
@@ -376,18 +388,25 @@ def q_zip_scan(spark, sf):
     return catalogue.archive_rows(archives, schema).drop(ORDER_COLUMN)
 
 
+@query
+def q_read_archives(spark, sf):
+    """Landed archives, unpacked into the shared folder and read by row group; two of the columns."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    landed = land_archives(spark, docs, work_dir(spark, "archives"))
+    rows = catalogue.read_archives(spark, landed, docs.select("doc_id", "text").schema)
+    return rows.select("doc_id", "text")
+
+
 @query
 def q_ingest_dump(spark, sf):
-    """Documents as a dump, cleaned, given ids and stored."""
+    """Documents as landed archives, cleaned, given ids and stored."""
     root = work_dir(spark, "dump")
-    dump = programmes(spark, sf, dated=True).drop("uuid", "project_short_description", "project_full_description")
+    dump = programmes(spark, sf, dated=True).drop("uuid", "project_short_description", "project_full_description", ORDER_COLUMN)
     dump = dump.withColumnsRenamed({"date_1": "on_website_from", "date_2": "last_updated"}).withColumn(
         "id_hash", F.md5(c("url"))
     )
-    ingest.clean_and_store(
-        normalise.dump_to_programmes(dump), f"{root}/cleaned", f"{root}/uuid", "id_hash", f"{root}/facets"
-    )
-    return catalogue.read_programmes(spark, f"{root}/uuid").select(
+    ingest.ingest_dump(spark, land_archives(spark, dump, root), dump.schema, f"{root}/out")
+    return catalogue.read_programmes(spark, f"{root}/out/uuid").select(
         "uuid", "id_hash", "title", "description", "project_short_description", stamp(c("date_1")).alias("date_1"),
         F.coalesce(c("deleted").cast("string"), lit("unknown")).alias("deleted"),
     )
@@ -538,9 +557,7 @@ def q_sync_stats(spark, sf):
     return spark.createDataFrame([asdict(sync(rows.unionByName(again), store, embedder))])
 
 
-@query
-def q_stream_refresh(spark, sf):
-    """Programme files arriving as a stream; the store must end up with all new rows."""
+def _refreshed_store(spark, sf):
     root = work_dir(spark, "stream")
     rows = programmes(spark, sf)
     rows.repartition(2, "uuid").write.parquet(f"{root}/landed")
@@ -550,7 +567,19 @@ def q_stream_refresh(spark, sf):
         spark, f"{root}/landed", rows.schema, store, embedder, f"{root}/checkpoint", files_per_batch=1, keep="last"
     )
     stream.awaitTermination()
-    return store.payload().select("uuid", "description")
+    return store
+
+
+@query
+def q_stream_refresh(spark, sf):
+    """Programme files arriving as a stream; the store must end up with all new rows."""
+    return _refreshed_store(spark, sf).payload().select("uuid", "description")
+
+
+@query
+def q_stream_points(spark, sf):
+    """The points that such a stream leaves: the last chunk of every programme."""
+    return _refreshed_store(spark, sf).points().select("uuid", c("chunk_no").cast("long").alias("chunk_no"))
 
 
 # -- search -----------------------------------------------------------------
@@ -679,3 +708,26 @@ def q_search_text(spark, sf):
         "qid", c("rank").cast("long").alias("rank"), "project_id", "project_title", piped("funding_area"),
         F.round("matching_score", 5).alias("matching_score"),
     )
+
+
+def _search_store(spark, sf):
+    """All documents synced into a new store, then searched there by user messages."""
+    embedder = embed.hashing_embedder()
+    store = VectorStore.open(spark, work_dir(spark, "store"), embedder.name, embedder.dim)
+    sync(programmes(spark, sf), store, embedder)
+    return search.search(text_queries(spark, sf), store, embedder, search.check_limit(topk.DEFAULT_LIMIT), FILTERS)
+
+
+@query
+def q_search_store(spark, sf):
+    return _search_store(spark, sf).select(
+        "qid", c("rank").cast("long").alias("rank"), "project_id", "project_title", piped("funding_area"),
+        F.round("matching_score", 5).alias("matching_score"),
+    )
+
+
+@query
+def q_result_counts(spark, sf):
+    """Results of every query of such a search."""
+    asked = search.valid_queries(text_queries(spark, sf))
+    return search.result_counts(asked, _search_store(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -15,11 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from semcat.functions.text import py_strip
 from semcat.schema import ORDER_COLUMN
-from semcat.sources.paths import exists
+from semcat.session import work_dir
+from semcat.sources.paths import matching, unpack_member
 
 # Fixed value: the table inside a dump archive.
 DUMP_MEMBER = "data.parquet"
 _FILE_ROWS = 1 << 32
+UNPACKED_AT_ONCE = 4  # archives
 
 
 def read_programmes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -83,16 +86,26 @@ def archive_rows(
 def read_archives(
     spark: SparkSession, path: str, schema: T.StructType, member: str = DUMP_MEMBER
 ) -> DataFrame:
-    """Rows of the dump archives at ``path``, spread evenly, with ``row_order``."""
-    if not any(ch in path for ch in "*?[{") and not exists(spark, path):
+    """Rows of the dump archives at ``path``, with ``row_order``.
+
+    A zip member can only be unpacked from its start, so every archive is streamed once,
+    a buffer at a time, into a Parquet file in the shared folder, whatever its size.  That
+    file is read like any other: split by row group, only the columns asked for.
+    """
+    archives = matching(spark, path)
+    if not archives:
         raise FileNotFoundError(f"archive not found: {path}")
-    archives = spark.read.format("binaryFile").load(path)
-    # File names only, as the driver lists them anyway for the scan.
-    names = sorted(row["path"] for row in archives.select("path").collect())
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path")) - 1
-    rows = archive_rows(archives.withColumn("position", position), schema, member)
-    # One archive decodes in one task; what follows should use all of them.
-    return rows.repartition(ORDER_COLUMN)
+    folder = work_dir(spark, "dump")
+    with ThreadPoolExecutor(UNPACKED_AT_ONCE) as pool:
+        copies = [
+            pool.submit(unpack_member, spark, archive, member, f"{folder}/{position:09d}.parquet")
+            for position, archive in enumerate(archives)
+        ]
+        for copy in copies:
+            copy.result()
+    rows = read_programmes(spark, folder, schema)
+    place = F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long") * F.lit(_FILE_ROWS)
+    return rows.select("*", (place + F.col("_metadata.row_index")).alias(ORDER_COLUMN))
 
 
 def write_facets(

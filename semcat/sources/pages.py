@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.functions.jsonx import with_json_fields
 from semcat.operators.normalise import REQUEST_LISTS, is_requested
 from semcat.schema import ORDER_COLUMN
+from semcat.session import written
 
 # Fixed value: items per page.
 PAGE_SIZE = 50
@@ -54,12 +55,16 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 def before_first_empty(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Parsed pages before the first one without items; up to ``max_pages``, if given.
 
-    The cut is one number, read as a scalar subquery.
+    Bodies are parsed once: the pages are written, and the number of the first empty one
+    is observed on the way.
     """
     if max_pages is not None:
         pages = pages.filter(F.col("page") <= max_pages)
-    cut = pages.filter(F.size("items") == 0).select(F.min("page")).scalar()
-    return pages.filter(F.coalesce(F.col("page") < cut, F.lit(True)))
+    empty = Observation("empty_pages")
+    first = F.min(F.when(F.size("items") == 0, F.col("page"))).alias("first")
+    pages = written(pages.observe(empty, first), "pages")
+    cut = empty.get["first"]
+    return pages if cut is None else pages.filter(F.col("page") < cut)
 
 
 def page_items(parsed: DataFrame) -> DataFrame:

@@ -44,7 +44,12 @@ def refresh_stream(
 
 
 def calls_stream(
-    spark: SparkSession, pages_path: str, out: str, checkpoint: str, per_line: bool = False
+    spark: SparkSession,
+    pages_path: str,
+    out: str,
+    checkpoint: str,
+    per_line: bool = False,
+    asked_only: bool = True,
 ) -> StreamingQuery:
     """Normalised, filtered calls of newly landed API pages, appended as Parquet.
 
@@ -52,7 +57,7 @@ def calls_stream(
     """
     items = page_items(parsed_pages(stream_page_files(spark, pages_path, per_line)))
     return (
-        kept_calls(items_to_calls(items))
+        kept_calls(items_to_calls(items, asked_only=asked_only))
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)

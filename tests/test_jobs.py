@@ -25,11 +25,11 @@ from semcat.streaming.refresh import calls_stream, refresh_stream
 LONG = "a description that is long enough to stay"
 
 
-def item(number, status="31094501", language="en", call=None, text=LONG, keywords=("energy", "Energy")):
+def item(number, status="31094501", language="en", call=None, text=LONG, keywords=("energy", "Energy"), kind="1"):
     return {
         "language": language, "summary": f"<b>summary</b> {number}",
         "metadata": {
-            "identifier": [f"ID-{number}"], "status": {"id": status}, "title": [f" Title {number} "], "callIdentifier": call,
+            "identifier": [f"ID-{number}"], "type": [kind], "status": {"id": status}, "title": [f" Title {number} "], "callIdentifier": call,
             "startDate": ["2024-05-01T17:00:00.000+0200"], "descriptionByte": f"<p>{text} {number}</p>", "keywords": list(keywords),
         },
     }
@@ -51,7 +51,7 @@ def test_pages_to_results(spark, tmp_path):
         tmp_path / "pages",
         {
             1: [item(1), item(2, status="31094503"), item(3, status="1"), item(4, language="de")],
-            2: [item(5, call="CALL"), item(6, call="CALL"), item(7, text="no"), item(8, keywords=["ID-8"])],
+            2: [item(5, call="CALL"), item(6, call="CALL"), item(7, text="no"), item(8, keywords=["ID-8"]), item(10, kind="8")],
             3: [],
             4: [item(9)],
         },

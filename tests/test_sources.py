@@ -122,8 +122,10 @@ def test_snapshots(spark, tmp_path):
         snapshots.fresh_or_cached_calls(spark, broken, root, "b0")
     fresh = snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "1", "2"), root, "b1")
     assert sorted(r["id"] for r in fresh.collect()) == ["1", "2"]
-    # A batch that fails while it is written is not a good snapshot.
-    failing = lambda: calls(spark, "3").withColumn("id", F.raise_error(F.lit("half way")).cast("string"))
+    # A batch that fails while it is written, here on its second file, is not a good snapshot.
+    snapshots.write_calls(calls(spark, "3").repartition(1), str(tmp_path / "landed"))
+    (tmp_path / "landed" / "broken.json.gz").write_bytes(b"no gzip at all")
+    failing = lambda: snapshots.read_calls(spark, str(tmp_path / "landed"))
     cached = snapshots.fresh_or_cached_calls(spark, failing, root, "b2")
     assert sorted(r["id"] for r in cached.collect()) == ["1", "2"]
     # The same batch failing again must not harm the good one.
@@ -236,6 +238,69 @@ def test_coding_errors_are_raised(spark, tmp_path):
         snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "2").select("no_such_column"), root, "b2")
 
 
+def test_failing_function_is_raised_and_missing_file_falls_back(spark, tmp_path):
+    """By the innermost cause: both come wrapped as a failed write."""
+    root = str(tmp_path / "cache")
+    snapshots.fresh_or_cached_calls(spark, lambda: calls(spark, "1"), root, "b1")
+
+    @F.udf("string")
+    def bug(value):
+        return value.no_such_method()
+
+    bugs = {
+        "no_such_method": lambda: calls(spark, "2").withColumn("id", bug("id")),
+        "no number": lambda: calls(spark, "2").withColumn("id", F.raise_error(F.lit("a page has no number")).cast("string")),
+        "DIVIDE_BY_ZERO": lambda: calls(spark, "2").withColumn("id", (F.lit(1) / F.length(F.regexp_replace("id", ".", ""))).cast("string")),
+    }
+    for message, fetch in bugs.items():
+        with pytest.raises(Exception, match=message):
+            snapshots.fresh_or_cached_calls(spark, fetch, root, "b2")
+
+    snapshots.write_calls(calls(spark, "3", "4").repartition(2), str(tmp_path / "landed"))
+    landed_calls = snapshots.read_calls(spark, str(tmp_path / "landed"))
+    for part in (tmp_path / "landed").glob("part-*"):
+        part.unlink()
+    for fetch in (lambda: landed_calls, lambda: snapshots.read_calls(spark, str(tmp_path / "nowhere"))):
+        assert [r["id"] for r in snapshots.fresh_or_cached_calls(spark, fetch, root, "b3").collect()] == ["1"]
+
+
+def test_large_members_are_split(spark, tmp_path):
+    """A member of many row groups is read by many tasks; stored and deflated archives alike."""
+    table = pa.table({"id_hash": [f"{i:032d}" for i in range(40_000)], "tags": [["t"]] * 40_000, "unused": range(40_000)})
+    pq.write_table(table, tmp_path / "d.parquet", row_group_size=1000, compression="none")
+    for name, kind in (("a", zipfile.ZIP_STORED), ("b", zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", kind) as z:
+            z.writestr("readme.txt", "x" * 10)
+            z.write(tmp_path / "d.parquet", "data.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        rows = catalogue.read_archives(spark, str(tmp_path / "*.zip"), DUMP)
+        tasks = rows.select(F.spark_partition_id().alias("p"), "id_hash").groupBy("p").count()
+        assert tasks.count() >= 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [r["id_hash"] for r in rows.orderBy(ORDER_COLUMN).select("id_hash").collect()]
+    assert got == table["id_hash"].to_pylist() * 2
+    scan = rows.select("id_hash")._jdf.queryExecution().executedPlan().toString()
+    assert "tags" not in scan.split("ReadSchema")[1] and "readme" not in scan and "ArrowEval" not in scan and "MapInArrow" not in scan
+
+
+def test_bodies_are_parsed_once(spark):
+    count = spark.sparkContext.accumulator(0)
+    bodies = [(1, page_body("a")), (2, page_body("b")), (3, page_body()), (4, page_body("c"))]
+
+    @F.udf("string")
+    def seen(body):
+        count.add(1)
+        return body
+
+    frame = spark.createDataFrame(bodies, "page long, body string").withColumn("body", seen("body"))
+    cut = pages.before_first_empty(pages.parsed_pages(frame))
+    assert sorted(r["page"] for r in cut.collect()) == [1, 2] and pages.page_items(cut).count() == 2
+    assert count.value == 4 and "from_json" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_page_without_a_number_is_an_error(spark, tmp_path):
     (tmp_path / "pages.jsonl").write_text('{"page": 1, "results": []}\n{"results": []}\n')
     with pytest.raises(Exception, match="no number"):
