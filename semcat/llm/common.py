@@ -6,10 +6,12 @@ import contextlib
 import ctypes
 import gc
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 _SCRATCH: list[list[str]] = []
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most so many bytes, beside one row: very long texts else come by the thousand.
+
+    A setting of the session's own stays.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
 
 
 def remove_folders(spark: SparkSession, *folders: str) -> None:
@@ -64,9 +76,9 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 SEND_ROWS = 2_000_000  # ids that are sent whole to all executors; beyond, the join is shuffled
 
 
-def sent(ids: DataFrame) -> DataFrame:
+def sent(ids: DataFrame, keep: bool = False) -> DataFrame:
     """A table of ids, written once and marked for sending if it has at most SEND_ROWS rows."""
-    table = stored(ids, "ids")
+    table = stored(ids, "ids", keep)
     return F.broadcast(table) if table.limit(SEND_ROWS + 1).count() <= SEND_ROWS else table
 
 
@@ -96,6 +108,22 @@ def worker_cache() -> dict:
     return vars(sys).setdefault("_kept_by_worker", {})
 
 
+def shipped(spark: SparkSession, value) -> Callable:
+    """Sends a value of any class once to every worker; the function gives it there.
+
+    A plain broadcast names classes and leaves it to the workers to know them.
+    """
+    sent_bytes, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get():
+        kept = worker_cache()
+        if kept.get("shipped", (None,))[0] != name:
+            kept["shipped"] = name, cloudpickle.loads(sent_bytes.value)
+        return kept["shipped"][1]
+
+    return get
+
+
 def _release_memory() -> None:
     """Gives freed memory back to the system: a worker outlives its tasks, beside others."""
     pa.default_memory_pool().release_unused()

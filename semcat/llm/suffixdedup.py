@@ -3,8 +3,8 @@
 Every string of the least length has an anchor: of the short grams in it the one
 with the smallest hash.  Equal strings have equal anchors at equal places, so
 texts are cut into segments, the strings that share one anchor, and only segments
-with equal anchor grams can hold a common string.  Segments that are equal as
-wholes are settled by their hashes; those that differ go through the transform.
+with equal anchor grams can hold a common string.  Of segments that are equal as
+wholes only the first is looked at further; those that differ go through the transform.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import as_texts, bytes_of, free_shuffles, mixed, scratch, slices, span_hashes, stored, tidied, tidied_group
+from semcat.llm.common import as_texts, bound_batches, bytes_of, free_shuffles, mixed, scratch, sent, slices, span_hashes, stored, tidied, tidied_group
 
 LENGTH = 100  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
 STEP = 1 << 18  # starts that one numpy step looks at
 BUCKET_BYTES = 16 << 20  # text whose anchors one group holds
 TRANSFORM_BYTES = 1 << 19  # segments of one transform
-HOT_SEGMENTS = 20_000  # segments of one anchor; beyond, strings are compared by a shuffle of their hashes
+# Anchors with more different segments, by a sample of the documents, are compared string
+# by string through a shuffle of hashes.  Where the line lies changes no result.
+HOT_SEGMENTS = 20_000
+SAMPLE_RATE, SAMPLE_DOCS = 0.001, 2_000
 _END = 0xFF  # between segments; no byte of UTF-8
 _LAST = np.iinfo(np.int64).max
 
@@ -104,32 +107,36 @@ def repeats_by_transform(segments: list[bytes], rank: np.ndarray, length: int) -
     """For each start of each segment, in order, whether its string of ``length`` bytes also starts at a smaller rank.
 
     ``rank`` has one place for each such start, in order of the segments.
-    Suffixes are sorted by ``length`` bytes.  On their Burrows-Wheeler transform,
+    All suffixes are sorted, each up to the end of its segment, so that the order says
+    nothing of how long neighbours agree.  On their Burrows-Wheeler transform,
     intervals of strings are extended backward by one byte, breadth first: what
     ends at a border for the first time after n rounds has n bytes in common with
     its neighbour.  After ``length`` rounds the borders left have that much.
     """
     text = np.frombuffer(b"".join(s + bytes([_END]) for s in segments), np.uint8)
     n = len(text)
-    padded = np.concatenate([text, np.full(length + 8, _END, np.uint8)])
+    padded = np.concatenate([text, np.full(8, _END, np.uint8)])
+    stop = np.flatnonzero(text == _END)
+    left = np.repeat(stop, np.diff(np.append(-1, stop))) - np.arange(n)  # bytes up to the end of the segment
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : n + k]
+        key = (key << np.uint64(8)) | np.where(k < left, padded[k : n + k], _END).astype(np.uint64)
 
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         new = np.zeros(n, np.int64)
         np.cumsum(key[order][1:] != key[order][:-1], out=new[1:])
         out = np.empty(n, np.int64)
         out[order] = new
-        return out, order
+        return out
 
-    own, order = ranked(key)
-    depth = 8
-    while depth < length:
-        ahead = min(depth, length - depth)
-        own, order = ranked(own * (n + 1) + np.append(own[ahead:], np.full(min(ahead, n), n))[:n])
-        depth += ahead
+    own, depth = ranked(key), 8
+    while depth <= left.max() and own.max() < n - 1:
+        ahead = np.append(own[depth:], np.zeros(min(depth, n), np.int64))[:n]
+        own = ranked(own * (n + 1) + np.where(left > depth, ahead, n))  # the end is the largest byte
+        depth *= 2
+    # Suffixes that are equal to their end stand as their ends do.
+    order = np.argsort(own, kind="stable")
 
     before = text[order - 1]  # of the first suffix the last byte, an end
     stable = np.argsort(before, kind="stable")
@@ -176,8 +183,19 @@ def _spans_batch(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.nd
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(tie.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["k", "t", "start", "end"])
 
 
-def _local(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[dict]:
-    """Anchors of a batch as blobs by bucket; spans that repeat within the batch."""
+# Of a segment: its document in the blob's list, start, strings less one, anchor, hash as a whole.
+_BLOBS = {"doc": np.uint32, "start": np.int32, "more": np.uint16, "gram": np.uint32, "segment": np.uint64}
+
+
+def _blob_row(bucket: int, hot: bool, keys: np.ndarray, ties: np.ndarray, doc: np.ndarray, **parts: np.ndarray) -> dict:
+    """Segments of one bucket, by document; places as differences, which pack well."""
+    ids, place = np.unique(doc, return_inverse=True)
+    row = {"bucket": bucket, "hot": hot, "k": np.diff(keys[ids], prepend=np.int64(0)).tobytes(), "t": ties[ids].tobytes()}
+    return row | {n: x.astype(_BLOBS[n]).tobytes() for n, x in {"doc": np.diff(place, prepend=0), **parts}.items()}
+
+
+def _local(batch: pa.RecordBatch, length: int, buckets: int, hot: np.ndarray) -> Iterator[dict]:
+    """Segments of a batch as blobs by bucket; spans that repeat within the batch."""
     keys, ties = batch.column("k").to_numpy(), batch.column("t").to_numpy()
     found, offset = [], 0
     for part, data, bounds in slices(batch):
@@ -190,71 +208,105 @@ def _local(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[dict]:
     order, new, later = _firsts([gram, segment], keys[doc], ties[doc], first)
     gone = order[later]
     d, s, e = _merged(doc[gone], first[gone], last[gone] + length)
-    yield {"bucket": -1, "k": keys[d], "t": ties[d], "start": s, "end": e}
-    kept = order[new]
-    bucket = (gram[kept] % np.uint64(buckets)).astype(np.int64)
-    kept = kept[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
-    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
+    if len(d):
+        row = {"bucket": int(keys[d[0]] % buckets), "hot": None, "k": keys[d].tobytes(), "t": ties[d].tobytes()}
+        yield row | {"start": s.astype(np.int64).tobytes(), "gram": e.astype(np.int64).tobytes(), "doc": b"", "more": b"", "segment": b""}
+    kept = np.sort(order[new])
+    frequent = np.isin(gram[kept], hot)
+    # Segments of frequent anchors are dealt out by themselves, others by their anchor.
+    bucket = np.where(frequent, segment[kept], gram[kept]) % np.uint64(buckets)
+    place = bucket.astype(np.int64) * 2 + frequent
+    by = np.argsort(place, kind="stable")
+    kept, place = kept[by], place[by]
+    cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, int)
     for a, b in zip(cuts[:-1], cuts[1:]):
         at = kept[a:b]
-        yield {"bucket": int(bucket[a]), "k": keys[doc[at]], "t": ties[doc[at]], "start": first[at], "end": last[at] + length, "gram": gram[at], "segment": segment[at]}
+        yield _blob_row(int(place[a]) // 2, bool(place[a] % 2), keys, ties, doc[at], start=first[at], more=last[at] - first[at], gram=gram[at] >> np.uint64(32), segment=segment[at])
 
 
-_BLOBS = ("k", "t", "start", "end", "gram", "segment")
-_TYPES = {"k": np.int64, "t": np.int64, "start": np.int64, "end": np.int64, "gram": np.uint64, "segment": np.uint64}
+def frequent_anchors(docs: DataFrame, length: int, rate: float = SAMPLE_RATE, least: int = SAMPLE_DOCS) -> np.ndarray:
+    """Hashes of the anchors with over about HOT_SEGMENTS different segments, counted in a share of the documents.
+
+    They are at most one of HOT_SEGMENTS segments of the whole table.
+    """
+    rate = max(rate, least / max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("anchors"), "k", "t"), F.lit(1 << 30)) < int(rate * (1 << 30))) if rate < 1 else docs
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in slices(batch):
+                _, gram, first, last = anchors(data, bounds, length)
+                both = np.unique(np.stack([gram, span_hashes(data, first, last + length)]), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["gram", "segment"])
+
+    found = sample.select("text").mapInArrow(tidied(grams), "gram long, segment long").distinct()
+    often = found.groupBy("gram").count().where(F.col("count") > max(20, min(rate, 1) * HOT_SEGMENTS)).select("gram")
+    return np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """k, t, start, end: byte spans, not yet merged, that repeat something earlier.
 
-    ``docs`` has k (the document's place in the order), t (a hash of its text)
-    and text.  See ``without_repeats`` for the rule.
+    ``docs`` has k (the document's place in the order), t (tells documents of one place
+    apart) and text.  See ``without_repeats`` for the rule.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_BYTES))
+    hot = spark.sparkContext.broadcast(frequent_anchors(docs, length))
+    names = ("k", "t", *_BLOBS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for b in batches if b.num_rows):
-            rows = list(_local(batch, length, buckets))
-            # Places change slowly from row to row, so their differences pack well.
-            columns = {"bucket": pa.array([r["bucket"] for r in rows], pa.int64())}
-            for name in _BLOBS:
-                columns[name] = pa.array([r[name].astype(_TYPES[name]).tobytes() if name in r else b"" for r in rows], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    blobs = stored(docs.select("k", "t", "text").mapInArrow(tidied(local), "bucket long, " + ", ".join(f"{n} binary" for n in _BLOBS)), "anchors")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _spans_batch(*(np.frombuffer(row[n], np.int64) for n in ("k", "t", "start", "end")))
+            rows = list(_local(batch, length, buckets, hot.value))
+            columns = {"bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "hot": pa.array([r["hot"] for r in rows], pa.bool_())}
+            yield pa.RecordBatch.from_pydict(columns | {n: pa.array([r[n] for r in rows], pa.binary()) for n in names})
 
+    blobs = docs.select("k", "t", "text").mapInArrow(tidied(local), "bucket long, hot boolean, " + ", ".join(f"{n} binary" for n in names))
     shape = "k long, t long, start long, end long"
-    within = blobs.where("bucket = -1").select("k", "t", "start", "end").mapInArrow(tidied(unpack), shape)
+
+    def segments_of(rows: list[dict]) -> list[np.ndarray]:
+        out = []
+        for r in rows:
+            doc = np.cumsum(np.frombuffer(r["doc"], np.uint32).view(np.int32))
+            k, t = np.cumsum(np.frombuffer(r["k"], np.int64))[doc], np.frombuffer(r["t"], np.int64)[doc]
+            start, more = (np.frombuffer(r[n], _BLOBS[n]).astype(np.int64) for n in ("start", "more"))
+            out.append((k, t, start, start + more + length, np.frombuffer(r["gram"], np.uint32), np.frombuffer(r["segment"], np.uint64)))
+        return [np.concatenate(x) for x in zip(*out)]
 
     def compare(group: pa.Table) -> pa.Table:
         """Later copies of whole segments as spans; firsts of anchors with several segments as requests."""
-        k, t, start, end, gram, segment = (np.concatenate([np.frombuffer(b, _TYPES[n]) for b in group.column(n).to_pylist()]) for n in _BLOBS)
-        order, new, later = _firsts([gram, segment], k, t, start)
-        gone = order[later]
-        # Spans of one document touch here by chance only; they are merged at the end.
-        heads = order[new]
-        grams, inverse, count = np.unique(gram[heads], return_inverse=True, return_counts=True)
-        asked = heads[count[inverse] > 1]
-        hot = count[inverse][count[inverse] > 1] > HOT_SEGMENTS
-        both = np.concatenate([gone, asked])
-        kind = np.concatenate([np.zeros(len(gone), np.int32), np.where(hot, 2, 1).astype(np.int32)])
-        return pa.table({"k": k[both], "t": t[both], "start": start[both], "end": end[both], "gram": gram[both].view(np.int64), "kind": kind})
-
-    compared = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(compare), f"{shape}, gram long, kind int")
-    compared = stored(compared, "compared")
+        out = []
+        bucket = group.column("bucket")[0].as_py()
+        all_rows = group.to_pylist()
+        for kind, frequent in ((1, False), (2, True)):
+            rows = [r for r in all_rows if r["hot"] is frequent]
+            if not rows:
+                continue
+            k, t, start, end, gram, segment = segments_of(rows)
+            order, new, later = _firsts([gram, segment], k, t, start)
+            gone, asked = order[later], order[new]
+            if not frequent:
+                _, inverse, count = np.unique(gram[asked], return_inverse=True, return_counts=True)
+                asked = asked[count[inverse] > 1]
+            both = np.concatenate([gone, asked])
+            kinds = np.concatenate([np.zeros(len(gone), np.int32), np.full(len(asked), kind, np.int32)])
+            # The bucket and half of an anchor's hash: anchors that agree in both are only compared for nothing.
+            anchor = (np.int64(bucket) << np.int64(32)) | gram[both].astype(np.int64)
+            out.append((k[both], t[both], start[both], end[both], anchor, kinds))
+        for r in (r for r in all_rows if r["hot"] is None):
+            spans = [np.frombuffer(r[n], np.int64) for n in ("k", "t", "start", "gram")]
+            out.append((*spans, np.zeros(len(spans[0]), np.int64), np.zeros(len(spans[0]), np.int32)))
+        return pa.table(dict(zip(("k", "t", "start", "end", "gram", "kind"), (np.concatenate(x) for x in zip(*out)))))
+
+    compared = stored(blobs.groupBy("bucket").applyInArrow(tidied_group(compare), f"{shape}, gram long, kind int"), "compared")
     free_shuffles(spark)
     copies = compared.where("kind = 0").select("k", "t", "start", "end")
 
     wanted = compared.where("kind > 0").groupBy("k", "t").agg(F.collect_list(F.struct("start", "end", "gram", "kind")).alias("asked"))
-    texts = docs.select("k", "t", "text").join(wanted, ["k", "t"])
+    # Texts of which nothing is asked stay where they are.
+    some = sent(compared.where("kind > 0").select("k").distinct())
+    texts = docs.select("k", "t", "text").join(some, "k", "left_semi").join(wanted, ["k", "t"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,25 +365,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings = strings.select("k", "t", (F.col("start") + F.col("i")).alias("start"), F.unhex(F.md5("s")).alias("key"))
     least = strings.groupBy("key").agg(F.min(F.struct("k", "t", "start")).alias("least"))
     frequent = strings.join(least, "key").where(F.struct("k", "t", "start") > F.col("least")).select("k", "t", "start", (F.col("start") + length).alias("end"))
-    return within.unionByName(copies).unionByName(found).unionByName(frequent)
-
-
-def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """The documents with sd__kept, sd__bytes, sd__removed, sd__spans."""
-    names = docs.columns
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("sd__k"), F.xxhash64("text").alias("sd__t"))
-    with scratch(docs.sparkSession):
-        spans = repeated_spans(keyed.select(F.col("sd__k").alias("k"), F.col("sd__t").alias("t"), "text"), length)
-        spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("sd__all")), "spans", keep=True)
-    spans = spans.select(F.col("k").alias("sd__k2"), F.col("t").alias("sd__t2"), "sd__all")
-    joined = keyed.join(spans, (F.col("sd__k") == F.col("sd__k2")) & (F.col("sd__t") == F.col("sd__t2")), "left").select(*names, "sd__all")
-    extra = {"sd__kept": "binary", "sd__bytes": "long", "sd__removed": "long", "sd__spans": "long"}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {t}" for n, t in extra.items())])
+    return copies.unionByName(found).unionByName(frequent)
+
+
+def _cut(docs: DataFrame, length: int, extra: tuple[str, str, str, str]) -> DataFrame:
+    """The documents with what is kept, bytes, bytes removed and spans, named by ``extra``."""
+    spark, names = docs.sparkSession, docs.columns
+    bound_batches(spark)
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"))
+    with scratch(spark):
+        # Only documents that share an id need more than it to be told apart.
+        repeated = sent(rows.groupBy("k").count().where("count > 1").select("k", F.lit(True).alias("twice")), keep=True)
+        keyed = rows.join(repeated, "k", "left").select("row", "k", F.when(F.col("twice"), F.xxhash64("row.text")).otherwise(0).cast("long").alias("t"))
+        spans = repeated_spans(keyed.select("k", "t", "row.text"), length)
+        spans = stored(spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("all")), "spans", keep=True)
+    joined = keyed.join(spans, ["k", "t"], "left").select("row", "all")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {t}" for n, t in zip(extra, ("binary", "long", "long", "long")))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in slices(batch, limit=8 << 20):
-                lists = part.column("sd__all")
+            rows = pa.RecordBatch.from_arrays([*batch.column("row").flatten(), batch.column("all")], [*(f"c{i}" for i in range(len(names))), "all"])
+            for part, data, bounds in slices(rows, f"c{names.index('text')}", limit=8 << 20):
+                lists = part.column("all")
                 inner = lists.flatten()
                 row = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64))
                 d, s, e = _merged(row, inner.field("start").to_numpy(), inner.field("end").to_numpy())
@@ -344,7 +399,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 pieces = [kept[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist())]
                 size = np.diff(bounds)
                 more = [pa.array(pieces, pa.binary()), pa.array(size), pa.array(size - np.diff(left)), pa.array(np.bincount(d, minlength=part.num_rows).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], [*names, *extra])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *more], [*names, *extra])
 
     return joined.mapInArrow(tidied(cut), schema)
 
@@ -359,8 +414,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text are one document; other rows of one doc_id stand in an order of their
     texts' hashes; a null doc_id comes last.  Columns of these names are replaced.
     """
-    out = {"sd__kept": "kept", "sd__bytes": "n_bytes", "sd__removed": "n_removed", "sd__spans": "n_spans"}
-    return _cut(docs.drop(*out.values()), length).withColumnsRenamed(out)
+    extra = ("kept", "n_bytes", "n_removed", "n_spans")
+    return _cut(docs.drop(*extra), length, extra)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -369,7 +424,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A cut through a character leaves no part of it; texts without a repeat, null
     ones included, stay as they are.
     """
-    cut = _cut(docs, length)
-    left = F.regexp_replace(F.make_valid_utf8(F.col("sd__kept").cast("string")), "\ufffd", "")
-    text = F.when(F.col("sd__removed") > 0, left).otherwise(F.col("text"))
-    return cut.where("sd__removed = 0 or sd__removed < sd__bytes").withColumn("text", text).select(*docs.columns)
+    prefix = "cut_"
+    while any(n.startswith(prefix) for n in docs.columns):
+        prefix += "_"
+    kept, size, removed, spans = extra = tuple(prefix + n for n in ("kept", "bytes", "removed", "spans"))
+    cut = _cut(docs, length, extra)
+    left = F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "\ufffd", "")
+    text = F.when(F.col(removed) > 0, left).otherwise(F.col("text"))
+    return cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(size))).withColumn("text", text).select(*docs.columns)

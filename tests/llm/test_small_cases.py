@@ -193,6 +193,8 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     frame = table(spark, rows)
     want = without_repeats(frame).select("doc_id", "kept", "n_spans").orderBy("doc_id").collect()
     monkeypatch.setattr(suffixdedup, "HOT_SEGMENTS", 2)
+    routed = suffixdedup.frequent_anchors(frame.select(F.col("doc_id").alias("k"), F.lit(0).alias("t"), "text"), 100)
+    assert len(routed)
     assert without_repeats(frame).select("doc_id", "kept", "n_spans").orderBy("doc_id").collect() == want
 
 

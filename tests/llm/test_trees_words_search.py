@@ -229,3 +229,43 @@ def test_top_inner_products_of_nothing(spark):
 
 def test_blocks_are_bounded():
     assert topksearch.BLOCK_VALUES * (8 + 4) < 16 << 20
+
+
+# -- repeated passages --------------------------------------------------------
+
+
+def test_expansion_decides_not_the_order():
+    """Equal strings are told by the intervals alone: the order of suffixes goes to the end of each segment."""
+    from semcat.llm.suffixdedup import repeats_by_transform
+
+    rng = np.random.default_rng(11)
+    for trial in range(150):
+        length = int(rng.integers(2, 12))
+        pool = [bytes(rng.integers(97, 99, 40).tolist()) for _ in range(3)]
+        segments = []
+        for _ in range(int(rng.integers(1, 12))):
+            size, piece = int(rng.integers(length, 24)), pool[rng.integers(3)]
+            at = int(rng.integers(0, 40 - size + 1))
+            segments.append(piece[at : at + size])
+        starts = [(s, p) for s, seg in enumerate(segments) for p in range(len(seg) - length + 1)]
+        rank = rng.permutation(len(starts))
+        first = {}
+        for (s, p), r in zip(starts, rank):
+            key = segments[s][p : p + length]
+            first[key] = min(first.get(key, r), r)
+        want = [r > first[segments[s][p : p + length]] for (s, p), r in zip(starts, rank)]
+        assert repeats_by_transform(segments, rank, length).tolist() == want
+
+
+def test_clashing_names_and_repeated_ids_in_dedup(spark):
+    from semcat.llm.suffixdedup import deduplicated, without_repeats
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a " + passage), (2, passage + " b"), (2, "other " + passage), (2, passage + " b"), (None, passage), (None, "lost words"), (3, None)]
+    frame = spark.createDataFrame([(i, t, *["?"] * 7) for i, t in rows], "doc_id long, text string, k string, t string, row string, `all` string, cut_kept string, sd__k string, twice string")
+    found = without_repeats(frame)
+    assert found.columns == [*frame.columns, "kept", "n_bytes", "n_removed", "n_spans"] and found.count() == len(rows)
+    assert found.where("doc_id = 1").first()["n_removed"] == 0
+    assert {r["n_spans"] for r in found.where("doc_id = 2 or text like 'w0%'").collect()} == {1}
+    left = deduplicated(frame)
+    assert left.columns == frame.columns and {r["text"] for r in left.where("doc_id is null").collect()} == {"lost words"}
