@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, slices, span_hashes, tidied, word_spans
+from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, shipped, slices, span_hashes, tidied, word_spans
 
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
 LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
@@ -305,10 +305,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in range(n_blocks):
         chosen = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).collect()
         ids = [r["item_id"] for r in chosen]
-        matcher = spark.sparkContext.broadcast(build_matcher(ids, [r["text"] for r in chosen]))
+        matcher = shipped(spark, build_matcher(ids, [r["text"] for r in chosen]))
 
         def find(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            known = matcher.value
+            known = matcher()
             for batch in batches:
                 for part, data, bounds in slices(batch):
                     words, ends = words_and_bounds(data, bounds)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bytes_of, free_shuffles, hashed_sample, mixed, scratch, sent, slices, stored, tidied, words_of
+from semcat.llm.common import HashIndex, as_texts, bound_batches, bytes_of, free_shuffles, hashed_sample, mixed, scratch, sent, shipped, slices, stored, tidied, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
@@ -84,13 +84,13 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
     """doc_id, n_shingles and the ids of the shingles in their order.
 
     With a percentage the ids are cut to the prefix: two sets that are linked
-    share an id of their prefixes, and near copies mostly ``least``.  A hash of
-    the whole set then comes along.
+    share an id of their prefixes, and near copies mostly ``least``.  128-bit keys of
+    the whole set (key1, key2) and of the prefix (prefix1, prefix2) then come along.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = order.value
+        table = order()
         for batch in batches:
             for part, data, bounds in slices(batch):
                 n = part.num_rows
@@ -105,31 +105,34 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
                     reach = np.minimum(size - _count_needed(size, percent) + 1, size)
                     rank = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
                     kept = rank < reach[doc]
-                    sums = np.zeros((2, n), np.uint64)
-                    for row, salt in zip(sums, (1, 2)):
-                        np.add.at(row, doc, mixed(value ^ mixed(np.full(1, salt, np.uint64))))
-                    columns |= {"least": pa.array(least.astype(np.int64)), "ids": _lists(value[kept], doc[kept], n), "key1": pa.array(sums[0].view(np.int64)), "key2": pa.array(sums[1].view(np.int64))}
+                    columns |= {"least": pa.array(least.astype(np.int64)), "ids": _lists(value[kept], doc[kept], n)}
+                    for key, some in (("key", np.ones(len(doc), bool)), ("prefix", kept)):
+                        for salt in (1, 2):
+                            sums = np.zeros(n, np.uint64)
+                            np.add.at(sums, doc[some], mixed(value[some] ^ mixed(np.full(1, salt, np.uint64))))
+                            columns[f"{key}{salt}"] = pa.array(sums.view(np.int64))
                 yield pa.RecordBatch.from_pydict(columns)
 
     more = "" if percent is None else ", least long"
-    tail = "" if percent is None else ", key1 long, key2 long"
+    tail = "" if percent is None else ", key1 long, key2 long, prefix1 long, prefix2 long"
     return docs.select("doc_id", "text").mapInArrow(tidied(rows), f"doc_id {kind}, n_shingles long{more}, ids array<long>{tail}")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, order, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough, with the sets made anew from the texts."""
+    """Those of the pairs (a, b) whose whole sets are similar enough, with the sets made anew from the texts.
+
+    Sets of b travel to their pairs and with them to the fewer sets of a.
+    """
     pairs = stored(pairs, "pairs")
-    wanted = sent(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words, order), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("a_ids"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("b_ids"))
+
+    def sets(name: str) -> DataFrame:
+        wanted = sent(pairs.select(F.col(name).alias("doc_id")).distinct())
+        made = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words, order)
+        return made.select(F.col("doc_id").alias(name), F.col("ids").alias(f"{name}_ids"))
+
     both = F.size(F.array_intersect("a_ids", "b_ids"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(both * 100 >= (F.size("a_ids") + F.size("b_ids") - both) * percent)
-        .select("a", "b")
-    )
+    enough = both * 100 >= (F.size("a_ids") + F.size("b_ids") - both) * percent
+    return pairs.join(sets("b"), "b").join(sets("a"), "a").where(enough).select("a", "b")
 
 
 def _compatible(percent: int, x: str, y: str):
@@ -157,6 +160,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     null doc_id is linked with nothing.  Empty tables give empty tables; other
     columns are ignored.  The result is a table; what it was made from is removed.
     """
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         return stored(_near_copies(docs, words, percent), "near_copies", keep=True)
 
@@ -164,25 +168,32 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(frequent_shingles(docs, words))
-    rows = stored(shingle_sets(docs, words, order, percent), "prefixes")
-    full = rows.where("n_shingles > 0 and doc_id is not null")
-    copies = stored(full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "ids", "least")).alias("one")), "distinct_sets")
-    unique = copies.select("key1", "key2", "n_shingles", "one.doc_id", "one.least", "one.ids")
-
-    grouped = unique.groupBy("n_shingles", "ids").agg(F.min("doc_id").alias("gid"), F.first("least").alias("least"), F.count("*").alias("size"))
+    order = shipped(spark, frequent_shingles(docs, words))
+    made = shingle_sets(docs, words, order, percent).withColumn("row_no", F.monotonically_increasing_id())
+    rows = stored(made, "prefixes")
+    full = rows.where("n_shingles > 0 and doc_id is not null").withColumn("reach", F.size("ids"))
+    one = F.min(F.struct("doc_id", "row_no", "least", "reach", "prefix1", "prefix2")).alias("one")
+    copies = stored(full.groupBy("key1", "key2", "n_shingles").agg(one), "distinct_sets")
+    unique = copies.select("n_shingles", "one.*")
+
+    same_prefix = ["n_shingles", "prefix1", "prefix2"]
+    lowest = F.min(F.struct("doc_id", "row_no", "least", "reach")).alias("low")
+    grouped = unique.groupBy(*same_prefix).agg(lowest, F.count("*").alias("size"))
     # Texts of one doc_id may be in several groups; key tells these apart.
-    groups = stored(grouped.withColumn("key", F.xxhash64("ids")), "groups")
+    named = grouped.select(*same_prefix, F.xxhash64(*same_prefix).alias("key"), F.col("low.doc_id").alias("gid"), "low.row_no", "low.least", "low.reach", "size")
+    groups = stored(named, "groups")
     several = groups.where("size > 1")
-    member = unique.join(several.select("n_shingles", "ids", "gid"), ["n_shingles", "ids"], "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
+    member = unique.join(several.select(*same_prefix, "gid"), same_prefix, "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
     members = stored(member, "members")
-    index = groups.select(F.posexplode("ids").alias("pos", "id"), "gid", "key", "n_shingles", "least", F.size("ids").alias("reach"))
-    shared = index.groupBy("id").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("id")
+    prefixes = stored(full.select("row_no", "ids").join(groups.select("row_no", "key", "gid", "n_shingles"), "row_no").drop("row_no"), "group_prefixes")
+    index = prefixes.select(F.posexplode("ids").alias("pos", "id"), "key")
+    shared = index.select("id").groupBy("id").count().where("count > 1").select("id")
     # Lists of one group go.  Ids of a group in front of a shared one that stand in
     # no other list are in no set that has the shared one: they bound the overlap.
-    own = Window.partitionBy("gid", "n_shingles", "key")
+    own = Window.partitionBy("key")
     listed = (
         index.join(shared.hint("shuffle_hash"), "id")
+        .join(groups.select("key", "gid", "n_shingles", "least", "reach"), "key")
         .withColumn("lone", F.col("pos") + 1 - F.row_number().over(own.orderBy("pos")))
         .withColumn("recent", F.collect_list("id").over(own.orderBy("pos").rowsBetween(-RECENT, -1)))
         .withColumn("all_lone", F.col("reach") - F.count("*").over(own))
@@ -218,7 +229,7 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
     free_shuffles(spark)
     # Up to the end of the prefix that ends first, the prefixes tell all that is shared.
-    side = {n: groups.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
+    side = {n: prefixes.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
     ends = F.element_at("g_ids", -1) <= F.element_at("o_ids", -1)
     rest = F.when(ends, F.col("g_n_shingles") - F.size("g_ids")).otherwise(F.col("o_n_shingles") - F.size("o_ids"))
     could = F.size(F.array_intersect("g_ids", "o_ids")) + rest
