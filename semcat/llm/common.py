@@ -82,6 +82,13 @@ def sent(ids: DataFrame, keep: bool = False) -> DataFrame:
     return F.broadcast(table) if table.limit(SEND_ROWS + 1).count() <= SEND_ROWS else table
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus

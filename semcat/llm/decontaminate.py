@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from semcat.llm.common import HashIndex, as_texts, bytes_of, lowered, mixed, sent, shipped, slices, span_hashes, tidied, word_spans
 
 EDITS = 0.2  # words of an item that may be inserted, deleted or replaced, as a share of its words
-LEAST_WORDS = 4  # shorter items are ordinary phrases and match nothing
+LEAST_WORDS = 4  # shorter items are ordinary phrases: found where they stand word for word, and no reason to drop a document
 PLACES = 3  # places of the embedding in one key
 RECALL = 0.99  # that the keys reach on copies of the items themselves with as many edits as are allowed
 MOST_KEYS = 96  # where these don't reach it, word pairs are counted instead, which loses nothing
@@ -32,9 +32,31 @@ _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts that put no spaces between words: Thai to Lao, Burmese, Khmer, Japanese, Chinese."""
+    lead = np.flatnonzero((data[:-2] == 0xE0) | (data[:-2] == 0xE1) | (data[:-2] >= 0xE3) & (data[:-2] <= 0xE9)) if len(data) > 2 else np.zeros(0, np.int64)
+    first, second = data[lead], data[lead + 1]
+    thai, burmese, khmer = (first == 0xE0) & (second >= 0xB8) & (second <= 0xBB), (first == 0xE1) & (second <= 0x82), (first == 0xE1) & (second >= 0x9E) & (second <= 0x9F)
+    return lead[(first >= 0xE3) | thai | burmese | khmer]
+
+
+def _symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word; in unspaced scripts every character is one."""
+    start, end, doc = word_spans(data, bounds, _APART)
+    lead = _unspaced(data)
+    if not len(lead) or not len(start):
+        return start, end, doc
+    cut = np.unique(np.concatenate([lead, lead + 3]))
+    run = np.searchsorted(start, cut, "right") - 1
+    cut = cut[(run >= 0) & (cut > start[run]) & (cut < end[run])]
+    parts = np.sort(np.concatenate([start, cut]))
+    run = np.searchsorted(start, parts, "right") - 1
+    return parts, np.minimum(end[run], np.append(parts[1:], len(data))), doc[run]
+
+
 def words_and_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased word without punctuation; bounds of the documents among them."""
-    start, end, doc = word_spans(data, bounds, _APART)
+    start, end, doc = _symbols(data, bounds)
     count = np.bincount(doc, minlength=len(bounds) - 1)
     return span_hashes(lowered(data), start, end), np.concatenate([[0], np.cumsum(count)])
 
@@ -109,6 +131,7 @@ class Matcher:
     piece_offset: np.ndarray  # of a piece in its item
     reach: np.ndarray  # words of an item that hold any match of it
     slack: np.ndarray  # words that a match may start before a hit, beyond the edits
+    short: list[tuple[int, HashIndex, np.ndarray, np.ndarray]]  # items of each size below LEAST_WORDS, by their whole sequence
 
 
 def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
@@ -201,7 +224,33 @@ def build_matcher(ids: list[int], texts: list[str], seed: int = 3) -> Matcher:
             reach[whole] = span
             classes.append(SizeClass(span, max(need, 1), coins[:used], places[:used], exact, *_grouped(keys, owners)))
         low = high
-    return Matcher(ids, words, bounds, HashIndex(pairs), classes, piece_item, piece_offset, reach, slack)
+    short = []
+    for n in range(1, LEAST_WORDS):
+        owners = np.flatnonzero(size == n)
+        if len(owners):
+            short.append((n, *_grouped(_sequences(words, n)[bounds[owners]], owners)))
+    return Matcher(ids, words, bounds, HashIndex(pairs), classes, piece_item, piece_offset, reach, slack, short)
+
+
+def _sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on."""
+    out = words[: max(len(words) - n + 1, 0)]
+    for k in range(1, n):
+        out = mixed(out * np.uint64(0x9FB21C651E98DF25) + words[k : k + len(out)])
+    return out
+
+
+def _short_matches(matcher: Matcher, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """The same as ``matches`` for items that are too short to allow an edit: the first place in each document."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for n, index, heads, owners in matcher.short:
+        place = index.find(_sequences(words, n))
+        at = np.flatnonzero(place >= 0)
+        at = at[at + n <= bounds[1:][doc[at]]]
+        _, once = np.unique(np.stack([doc[at], place[at]]), axis=1, return_index=True)
+        for i in at[once]:
+            for item in owners[heads[place[i]] : heads[place[i] + 1]]:
+                yield int(doc[i]), int(item), 0, int(i - bounds[doc[i]])
 
 
 def _met(kind: SizeClass, words: np.ndarray, ends: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -243,6 +292,7 @@ def _counted(kind: SizeClass, pairs: np.ndarray, doc: np.ndarray, hit: np.ndarra
 
 def matches(matcher: Matcher, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Document, item, edits and first word of each match; one for each pair of document and item."""
+    yield from _short_matches(matcher, words, bounds)
     if len(words) < 2:
         return
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -292,8 +342,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     must; their keys are looked up among the keys of the items, or of the pieces of
     long ones, and what meets is verified exactly.  Where a size has no keys that
     reach RECALL, the word pairs of each piece are counted instead.  A pair of
-    document and item stands once, with the fewest edits.  Null and empty texts, and items of fewer than LEAST_WORDS words, match
-    nothing; repeated rows are one; ids may be null.  Items are sent to the tasks
+    document and item stands once, with the fewest edits.  In scripts without spaces every
+    character is a word.  Items of fewer than LEAST_WORDS words (``item_words`` tells them)
+    are found where they stand word for word.  Null and empty texts, and items without a
+    word, match nothing; repeated rows are one; ids may be null.  Items are sent to the tasks
     in blocks of about BLOCK_ITEMS or BLOCK_BYTES, one pass over the documents each.
     """
     spark = docs.sparkSession
@@ -337,6 +389,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, all columns, in which no item is found.  Rows with a null id are kept."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("cd__id")).distinct()
+    """The documents, all columns, in which no item of LEAST_WORDS words or more is found.  Rows with a null id are kept."""
+    bad = contaminated(docs, items).where(F.col("item_words") >= LEAST_WORDS).select(F.col("doc_id").alias("cd__id")).distinct()
     return docs.join(sent(bad), F.col("doc_id") == F.col("cd__id"), "left_anti")

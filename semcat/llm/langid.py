@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcat.llm.common import slices, tidied
+from semcat.llm.common import bound_batches, free_name, slices, tidied
 
 WINDOW = 64  # bytes that one run of the network sees
 HIDDEN = 8  # units of each direction
@@ -240,7 +240,8 @@ def identify(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score")
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double"])
-    hidden = "li__letters"
+    bound_batches(docs.sparkSession)
+    hidden = free_name(docs, "letters")
     flagged = docs.withColumn(hidden, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,7 +203,7 @@ def test_decontamination(spark, docs, none, rows):
     spoiled = item.split()
     spoiled[4], spoiled[11] = "other", "words"
     items = spark.createDataFrame([(1, item.upper()), (2, " ".join(spoiled)), (3, None), (4, ""), (5, prose("en", 20)), (6, "the")], "item_id long, text string")
-    found = contaminated(docs, items).toPandas()
+    found = contaminated(docs, items).where("item_words >= 4").toPandas()
     assert sorted(zip(found.doc_id, found.item_id, found.edits)) == [(5, 1, 0), (5, 2, 2)]
     assert contaminated(none, items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
     left = without_contaminated(docs, items)
@@ -413,3 +413,23 @@ def test_stages(spark, docs, none, rows, tmp_path):
         if name == "decontamination":
             assert 5 not in ids and set(range(24)) - {5} <= ids
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    chinese = "".join(chr(0x4E00 + int(c)) for c in RNG.integers(0, 3000, 40))
+    changed = chinese[:10] + chr(0x4E00) + chinese[11:]
+    thai = "".join(chr(0x0E01 + int(c)) for c in RNG.integers(0, 40, 30))
+    other = "".join(chr(0x4E00 + int(c)) for c in RNG.integers(3000, 6000, 60))
+    items = spark.createDataFrame([(1, "Capital city"), (2, "one"), (3, chinese), (4, thai), (5, "..."), (6, "of the year"), (7, chinese[:2])], "item_id long, text string")
+    texts = ["the capital, city of one", "capitalcity city capital", other + changed + other, "x " + thai + " y", "", None, "of the  YEAR of the year", "of the"]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    found = {(r.doc_id, r.item_id, r.edits, r.first_word) for r in contaminated(docs, items).collect()}
+    assert found == {(0, 1, 0, 1), (0, 2, 0, 4), (2, 3, 1, 60), (3, 4, 0, 1), (6, 6, 0, 0), (2, 7, 0, 60)}
+    assert {r.doc_id for r in without_contaminated(docs, items).collect()} == {0, 1, 4, 5, 6, 7}
+
+
+def test_a_column_may_have_any_name(spark, docs):
+    clash = docs.withColumn("letters", F.lit(1)).withColumn("letters_", F.lit(2))
+    model = fit_tagger(docs.select("doc_id", "text", "lang").where("doc_id < 24"))
+    assert {"letters", "letters_", "lang_pred"} <= set(identify(clash, model).columns)
+    assert identify(clash, model).select("letters").distinct().count() == 1
