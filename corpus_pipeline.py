@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import remainder, sent, stored
+from semcat.llm.common import free_name, remainder, sent, stored
 from semcat.llm.decontaminate import without_contaminated
 from semcat.llm.langid import fit_tagger, identify
 from semcat.llm.mixing import mixing_plan
@@ -24,13 +24,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows that repeat an id are one, rows without an id stay."""
+    """The document with the smallest id of each group of near copies.
+
+    Rows that agree in id and text are one, the first by a hash of all columns; rows
+    without an id stay, as do other texts of an id.
+    """
     groups = near_copies(docs)
     dropped = groups.where("component_id != doc_id").select("doc_id").distinct()
     left = docs.join(sent(dropped), "doc_id", "left_anti")
     again = sent(groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
     single = left.join(again, "doc_id", "left_anti")
-    return single.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    place = free_name(docs, "place")
+    own = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    once = left.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(own)).where(F.col(place) == 1)
+    return single.unionByName(once.select(*single.columns)).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
