@@ -26,6 +26,10 @@ HEADLINE = (
     "q_new_rows",
     "q_search_filtered",
     "q_search_text",
+    "q_ingest_pages",
+    "q_ingest_dump",
+    "q_sync",
+    "q_stream_refresh",
 )
 RUNS = 3
 

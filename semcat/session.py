@@ -50,16 +50,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _scan_bytes(df: DataFrame) -> int:
+    """Bytes of all tables that the frame reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the input has fewer files than there are cores.
+    """Deal rows out evenly when the scan gives fewer tasks than there are cores.
 
-    For work that is heavy per row.  A table of many files is left as it is, so
-    at scale nothing is shuffled for this.
+    For work that is heavy per row.  Files are split by bytes, so a table that fills
+    the cores, of however few files, is left as it is: what is shuffled here
+    never exceeds one scan task's bytes per core.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     # The count only: the names of a million files would all come to Python.
     if 0 < len(df._jdf.inputFiles()) < cores:
-        return df.repartition(cores)
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        if _scan_bytes(df) < cores * split:
+            return df.repartition(cores)
     return df
