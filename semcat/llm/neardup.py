@@ -34,50 +34,83 @@ def rotations(size: int, turns: int) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(turns)], 1)
 
 
-def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign bits of the turned unit vectors, and each code's inner product with its own vector."""
+def turns_for(size: int, bits: int, tables: int) -> int:
+    """Rotations that give enough bits for all keys."""
+    return max(1, -(-bits * tables // size))
+
+
+def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sign bits of the turned unit vectors; of the first rotation the code's inner product with its vector, and the turned vector in steps.
+
+    The steps (whole numbers up to 127, and the size of one) take a byte a component.
+    """
+    size = unit.shape[1]
     turned = unit @ turn
-    code = turned >= 0
-    return code, np.abs(turned).sum(1) / np.sqrt(turned.shape[1]) / np.sqrt(turn.shape[1] // turn.shape[0])
+    first = turned[:, :size]
+    factor = np.abs(first).sum(1) / math.sqrt(size)
+    step = np.abs(first).max(1) / 127
+    return turned >= 0, factor, np.rint(first / step[:, None]).astype(np.int8), step
 
 
-def upper_bounds(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, size: int) -> np.ndarray:
-    """Upper confidence bounds of the cosines of coded vectors (rows) and turned vectors (columns).
+def estimates(signs: np.ndarray, factor: np.ndarray, steps: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Estimated cosines of coded vectors (rows) and stepped vectors (columns).
 
-    The code's inner product with the other vector, divided by the stored
-    factor, has the cosine as its mean.
+    The inner product of a code and the other vector, divided by the stored factor,
+    has the cosine as its mean over random rotations.
     """
-    width = code.shape[1]
-    signs = np.where(code, 1.0, -1.0).astype(np.float32)
-    turns = width // size
-    estimate = (signs @ turned.T.astype(np.float32)) / np.float32(math.sqrt(width * turns)) / factor[:, None].astype(np.float32)
-    error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(size - 1, 1))
-    return estimate + np.float32(SURENESS) * error[:, None].astype(np.float32)
+    size = signs.shape[1]
+    return (signs @ steps.T) * (step / math.sqrt(size)).astype(np.float32) / factor[:, None].astype(np.float32)
+
 
+def least_estimates(factor: np.ndarray, step: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """What the estimate for a pair at the threshold or above it falls below with SURENESS standard errors only.
 
-def block_links(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the linked pairs of one block, or of two blocks."""
+    The part of the code across its own vector meets the part of the other vector across it:
+    sqrt(1 - f^2) / f times sqrt(1 - cos^2), in size - 1 directions; steps add their rounding.
+    """
+    across = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * math.sqrt(max(1 - threshold**2, 0)) / math.sqrt(max(size - 1, 1))
+    rounding = step[None, :] / math.sqrt(12) / factor[:, None]
+    return threshold - SURENESS * np.sqrt(across[:, None] ** 2 + rounding**2) - 1e-6
+
+
+def candidates(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the pairs of one block, or of two blocks, that either's estimate leaves open."""
     other = left if right is None else right
-    size = left["vector"].shape[1]
-    maybe = upper_bounds(left["code"], left["factor"], other["turned"], size) >= threshold
+    size = left["steps"].shape[1]
+    maybe = np.ones((len(left["factor"]), len(other["factor"])), bool)
+    for x, y, turn in ((left, other, False), (other, left, True)):
+        close = estimates(x["signs"], x["factor"], y["steps"], y["step"]) >= least_estimates(x["factor"], y["step"], size, threshold)
+        maybe &= close.T if turn else close
     if right is None:
-        maybe = np.triu(maybe | maybe.T, 1)
-    a, b = np.nonzero(maybe)
-    kept_a, kept_b = [], []
+        maybe = np.triu(maybe, 1)
+    return np.nonzero(maybe)
+
+
+def exact_links(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates that are linked, by their vectors; a pair counts in the first table in which its keys agree."""
+    other = left if right is None else right
+    a, b = candidates(left, right, threshold)
+    kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for low in range(0, len(a), 1 << 16):
         i, j = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
         x, y = left["vector"][i], other["vector"][j]
         exact = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-        # A pair counts in the first table in which its keys agree.
         agree = left["keys"][i] == other["keys"][j]
         good = (exact >= threshold) & (agree.argmax(1) == left["table"])
         kept_a.append(i[good])
         kept_b.append(j[good])
-    if not kept_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(kept_a), np.concatenate(kept_b)
 
 
+def _keys(code: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The keys of each code: a number of ``bits`` bits for each table."""
+    keys = np.zeros((len(code), tables), np.int64)
+    for t in range(tables):
+        for k in range(bits):
+            keys[:, t] = keys[:, t] * 2 + code[:, t * bits + k]
+    return keys
+
+
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id that each row of the pairs is connected with."""
     root = ids.copy()
@@ -96,9 +129,10 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Vectors of one label and one length are linked when their cosine in double
     precision is at least the threshold.  Equal vectors are one, with a weight.
-    Every vector is stored under some keys, bits of its code; vectors that share
-    a key are compared: the estimate from one's code, with its confidence bound,
-    decides whether the cosine is computed.  A pair counts once, in its first
+    A vector's code, its factor and the vector in steps of a byte are stored under some keys,
+    bits of the code.  Among vectors that share a key the estimates, with their confidence
+    bounds, say which can have a partner; only for these are vectors fetched, and the
+    cosines of the open pairs computed.  A pair counts once, in its first
     shared key.  Keys with more than BLOCK vectors are compared in pairs of
     blocks, none left out.
 
@@ -111,7 +145,9 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()
     good = rows.where(F.coalesce(usable, F.lit(False))).select("vec_id", F.col("label").cast("string").alias("label"), "v")
-    single = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
+    distinct = good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    # Different vectors may share an id; the row number is theirs alone.
+    single = stored(distinct.withColumn("row_no", F.monotonically_increasing_id()), "vectors")
     largest = single.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_keys(largest, threshold)
 
@@ -121,90 +157,100 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             lengths = lists.value_lengths().to_numpy()
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                n = part.num_rows
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, size)
                 v = v / np.abs(v).max(1, keepdims=True)
-                turn = rotations(int(size), max(2, -(-bits * tables // int(size))))
-                code, _ = encode(v / np.linalg.norm(v, axis=1, keepdims=True), turn)
-                keys = np.zeros((len(v), tables), np.int64)
-                for t in range(tables):
-                    for k in range(bits):
-                        keys[:, t] = keys[:, t] * 2 + code[:, t * bits + k]
-                n = len(v)
-                take = pa.array(np.tile(np.arange(n), tables))
-                table = np.repeat(np.arange(tables), n)
+                turn = rotations(int(size), turns_for(int(size), bits, tables))
+                code, factor, steps, step = encode(v / np.linalg.norm(v, axis=1, keepdims=True), turn)
+                keys = _keys(code, bits, tables)
+                packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (np.packbits(code, axis=1), steps)]
+                row = np.tile(np.arange(n), tables)
+                take, table = pa.array(row), np.repeat(np.arange(tables), n)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "label": part.column("label").take(take), "size": pa.array(np.full(n * tables, size, np.int32)), "table": pa.array(table.astype(np.int32)),
-                        "key": pa.array(keys[np.tile(np.arange(n), tables), table]), "id": part.column("id").take(take), "weight": part.column("weight").take(take),
-                        "keys": pa.ListArray.from_arrays(pa.array(np.arange(n * tables + 1, dtype=np.int32) * tables), pa.array(np.tile(keys, (tables, 1)).ravel())),
-                        "v": part.column("v").take(take),
+                        "key": pa.array(keys[row, table]), "row_no": part.column("row_no").take(take), "id": part.column("id").take(take), "weight": part.column("weight").take(take),
+                        "code": packed[0].take(take), "steps": packed[1].take(take), "step": pa.array(step[row]), "factor": pa.array(factor[row]),
                     }
                 )
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    spread = single.mapInArrow(tidied(keyed), f"label string, size int, table int, key long, id {kind}, weight long, keys array<long>, v array<double>")
-    spread = stored(spread, "keyed_vectors")
-    crowd = spread.groupBy("label", "size", "table", "key").count().where(f"count > {BLOCK}")
+    coded = single.mapInArrow(tidied(keyed), f"label string, size int, table int, key long, row_no long, id {kind}, weight long, code binary, steps binary, step double, factor double")
+    coded = stored(coded, "coded_vectors")
+    crowd = coded.groupBy("label", "size", "table", "key").count().where(f"count > {BLOCK}")
     # At most one key in BLOCK rows, so these are few; they are still joined by size.
     crowd = stored(crowd.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"), "crowded_keys")
-    placed = spread.join(crowd, ["label", "size", "table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = coded.join(crowd, ["label", "size", "table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
-    groups = max(8, -(-spread.count() // GROUP_ROWS))
-    place = F.pmod(F.xxhash64("label", "size", "table", "key", "one", "two"), F.lit(groups)).alias("place")
-    placed = placed.select("label", "size", "table", "key", "one", "two", "block", "id", "weight", "keys", "v", place)
+    groups = max(8, -(-coded.count() // GROUP_ROWS))
+    cell = ["label", "size", "table", "key", "one", "two"]
+    place = F.pmod(F.xxhash64(*cell), F.lit(groups)).alias("place")
+    placed = placed.select(*cell, "block", "row_no", "id", "weight", "code", "steps", "step", "factor", place)
 
-    def compare(group: pa.Table) -> pa.Table:
-        frame = {n: group.column(n).to_numpy() for n in ("size", "table", "key", "one", "two", "block", "id", "weight")}
+    def sides(group: pa.Table) -> Iterator[tuple[np.ndarray, dict, np.ndarray | None, dict | None]]:
+        """Rows and contents of every cell of a group: one block, or two."""
+        frame = {n: group.column(n).to_numpy() for n in ("size", "table", "key", "one", "two", "block", "step", "factor")}
         _, label = np.unique(np.array(group.column("label").to_pylist(), object).astype(str), return_inverse=True)
         parts = np.stack([label, *(frame[n].astype(np.int64) for n in ("size", "table", "key", "one", "two"))])
         order = np.lexsort(parts[::-1])
         new = np.ones(len(order), bool)
         new[1:] = (parts[:, order[1:]] != parts[:, order[:-1]]).any(0)
         first = np.append(np.flatnonzero(new), len(order))
-        lists, keys = group.column("v").combine_chunks(), group.column("keys").combine_chunks()
-        values, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        keys = keys.flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)
-        out_id, out_links, out_root = [], [], []
-        turns: dict[int, np.ndarray] = {}
+        blobs = {n: group.column(n).combine_chunks() for n in ("code", "steps", "v") if n in group.column_names}
 
         def side(at: np.ndarray, size: int, table: int) -> dict:
-            if size not in turns:
-                turns[size] = rotations(size, max(2, -(-bits * tables // size)))
-            vector = np.stack([values[starts[i] : starts[i + 1]] for i in at])
-            # A vector's scale doesn't matter; this keeps squares in range.
-            vector = vector / np.abs(vector).max(1, keepdims=True)
-            unit = vector / np.linalg.norm(vector, axis=1, keepdims=True)
-            code, factor = encode(unit, turns[size])
-            return {"vector": vector, "turned": unit @ turns[size], "code": code, "factor": factor, "keys": keys[at], "table": table}
+            rows = {n: b"".join(x.take(pa.array(at)).to_pylist()) for n, x in blobs.items() if n != "v"}
+            code = np.unpackbits(np.frombuffer(rows["code"], np.uint8).reshape(len(at), -1), axis=1)
+            out = {"signs": code[:, :size].astype(np.float32) * 2 - 1, "factor": frame["factor"][at], "step": frame["step"][at], "table": table}
+            out |= {"steps": np.frombuffer(rows["steps"], np.int8).reshape(len(at), size).astype(np.float32), "keys": _keys(code, bits, tables)}
+            if "v" in blobs:
+                vector = blobs["v"].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                # A vector's scale doesn't matter; this keeps squares in range.
+                out["vector"] = vector / np.abs(vector).max(1, keepdims=True)
+            return out
 
         for low, high in zip(first[:-1], first[1:]):
             at = order[low:high]
-            if len(at) < 2:
-                continue
             size, table, one, two = (int(frame[n][at[0]]) for n in ("size", "table", "one", "two"))
-            if one == two:
-                a, b = block_links(side(at, size, table), None, threshold)
-                a, b = at[a], at[b]
-            else:
+            if len(at) > 1 and one == two:
+                yield at, side(at, size, table), None, None
+            elif one != two:
                 x, y = at[frame["block"][at] == one], at[frame["block"][at] == two]
-                if not len(x) or not len(y):
-                    continue
-                a, b = block_links(side(x, size, table), side(y, size, table), threshold)
-                a, b = x[a], y[b]
+                if len(x) and len(y):
+                    yield x, side(x, size, table), y, side(y, size, table)
+
+    def open_rows(group: pa.Table) -> pa.Table:
+        """Rows that have a partner in some open pair of their cell."""
+        wanted = np.zeros(group.num_rows, bool)
+        for x, left, y, right in sides(group):
+            a, b = candidates(left, right, threshold)
+            wanted[x[a]] = True
+            wanted[(x if y is None else y)[b]] = True
+        return group.filter(pa.array(wanted))
+
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
+    wanted = stored(placed.groupBy("place").applyInArrow(tidied_group(open_rows), layout), "open_rows")
+    fetched = wanted.join(single.select("row_no", "v"), "row_no")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids_of, weights = group.column("id").to_numpy(), group.column("weight").to_numpy()
+        out_id, out_links, out_root = [], [], []
+        for x, left, y, right in sides(group):
+            a, b = exact_links(left, right, threshold)
             if not len(a):
                 continue
-            ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+            ids, inverse = np.unique(np.concatenate([x[a], (x if y is None else y)[b]]), return_inverse=True)
             a, b = inverse[: len(a)], inverse[len(a) :]
-            weight = frame["weight"][ids].astype(float)
+            weight = weights[ids].astype(float)
             links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-            out_id.append(frame["id"][ids])
+            out_id.append(ids_of[ids])
             out_links.append(links.astype(np.int64))
-            out_root.append(_forest(a, b, frame["id"][ids]))
+            out_root.append(_forest(a, b, ids_of[ids]))
         merged = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_id, out_links, out_root)]
         return pa.table({"id": pa.array(merged[0], group.schema.field("id").type), "links": pa.array(merged[1], pa.int64()), "root": pa.array(merged[2], group.schema.field("id").type)})
 
-    found = stored(placed.groupBy("place").applyInArrow(tidied_group(compare), f"id {kind}, links long, root {kind}"), "vector_links")
+    found = stored(fetched.groupBy("place").applyInArrow(tidied_group(compare), f"id {kind}, links long, root {kind}"), "vector_links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found, "id", "root")
     state = single.select("id", "label", "v", "weight").join(linked, "id", "left").join(roots, F.col("id") == F.col("node"), "left")

@@ -269,3 +269,55 @@ def test_clashing_names_and_repeated_ids_in_dedup(spark):
     assert {r["n_spans"] for r in found.where("doc_id = 2 or text like 'w0%'").collect()} == {1}
     left = deduplicated(frame)
     assert left.columns == frame.columns and {r["text"] for r in left.where("doc_id is null").collect()} == {"lost words"}
+
+
+# -- rotation codes -----------------------------------------------------------
+
+
+def test_estimates_are_unbiased_and_bounds_hold():
+    """Over many rotations the estimate's mean is the cosine, and pairs at the threshold are left open."""
+    from semcat.llm import neardup
+
+    rng = np.random.default_rng(2)
+    for size in (32, 64):
+        x = rng.normal(size=(40, size))
+        near = x + rng.normal(size=x.shape) * 0.2
+        x, near = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, near))
+        cosines = (x * near).sum(1)
+        sums, missed = np.zeros(40), 0
+        for seed in range(300):
+            turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
+            code, factor, _, _ = neardup.encode(x, turn)
+            _, _, steps, step = neardup.encode(near, turn)
+            signs = code.astype(np.float32) * 2 - 1
+            found = np.diag(neardup.estimates(signs, factor, steps.astype(np.float32), step))
+            sums += found
+            for i in range(40):
+                missed += found[i] < neardup.least_estimates(factor[i : i + 1], step[i : i + 1], size, cosines[i])[0, 0]
+        assert np.abs(sums / 300 - cosines).max() < 0.01
+        assert missed <= 300 * 40 * 0.001
+
+
+def test_few_vectors_are_fetched(spark, monkeypatch):
+    """Most vectors have no partner; their codes alone are shuffled."""
+    from semcat.llm import neardup
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(base)] + [(2000 + i, (base[i] + rng.normal(size=64) * 0.05).tolist(), 1) for i in range(40)]
+    tables = {}
+    store = neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name, *a: tables.setdefault(name, store(df, name, *a)))
+    found = neardup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert {r.vec_id for r in found.where("n_links > 0").collect()} >= {2000 + i for i in range(38)}
+    assert "v" not in tables["coded_vectors"].columns and "v" not in tables["open_rows"].columns
+    assert tables["open_rows"].select("id").distinct().count() < 300
+
+
+def test_vectors_that_share_an_id(spark):
+    from semcat.llm.neardup import similar_vectors
+
+    one, two = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.2, 0.0]
+    rows = [(1, one), (1, two), (5, one), (6, two), (7, [1.0, 0.01, 0.0, 0.1])]
+    found = similar_vectors(spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, label int"))
+    assert found.count() == 5 and found.where("vec_id = 6").first()["n_links"] >= 1
