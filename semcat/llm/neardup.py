@@ -62,24 +62,27 @@ def estimates(signs: np.ndarray, factor: np.ndarray, steps: np.ndarray, step: np
     return (signs @ steps.T) * (step / math.sqrt(size)).astype(np.float32) / factor[:, None].astype(np.float32)
 
 
-def least_estimates(factor: np.ndarray, step: np.ndarray, size: int, threshold: float) -> np.ndarray:
-    """What the estimate for a pair at the threshold or above it falls below with SURENESS standard errors only.
+def may_reach(signs: np.ndarray, factor: np.ndarray, steps: np.ndarray, step: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs whose estimate does not fall SURENESS standard errors below that of a pair at the threshold.
 
     The part of the code across its own vector meets the part of the other vector across it:
     sqrt(1 - f^2) / f times sqrt(1 - cos^2), in size - 1 directions; steps add their rounding.
+    All sides are multiplied by the factor, so that each side of a pair has a number of its own.
     """
-    across = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * math.sqrt(max(1 - threshold**2, 0)) / math.sqrt(max(size - 1, 1))
-    rounding = step[None, :] / math.sqrt(12) / factor[:, None]
-    return threshold - SURENESS * np.sqrt(across[:, None] ** 2 + rounding**2) - 1e-6
+    size = signs.shape[1]
+    across = np.sqrt(np.maximum(1 - factor**2, 0)) * math.sqrt(max(1 - threshold**2, 0)) / math.sqrt(max(size - 1, 1))
+    found = signs @ steps.T
+    found *= (step / math.sqrt(size)).astype(np.float32)
+    found += (SURENESS * step / math.sqrt(12)).astype(np.float32)
+    return found >= (factor * threshold - SURENESS * across - 1e-5).astype(np.float32)[:, None]
 
 
 def candidates(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the pairs of one block, or of two blocks, that either's estimate leaves open."""
     other = left if right is None else right
-    size = left["steps"].shape[1]
     maybe = np.ones((len(left["factor"]), len(other["factor"])), bool)
     for x, y, turn in ((left, other, False), (other, left, True)):
-        close = estimates(x["signs"], x["factor"], y["steps"], y["step"]) >= least_estimates(x["factor"], y["step"], size, threshold)
+        close = may_reach(x["signs"], x["factor"], y["steps"], y["step"], threshold)
         maybe &= close.T if turn else close
     if right is None:
         maybe = np.triu(maybe, 1)

@@ -293,7 +293,8 @@ def test_estimates_are_unbiased_and_bounds_hold():
             found = np.diag(neardup.estimates(signs, factor, steps.astype(np.float32), step))
             sums += found
             for i in range(40):
-                missed += found[i] < neardup.least_estimates(factor[i : i + 1], step[i : i + 1], size, cosines[i])[0, 0]
+                one = slice(i, i + 1)
+                missed += not neardup.may_reach(signs[one], factor[one], steps[one].astype(np.float32), step[one], cosines[i])[0, 0]
         assert np.abs(sums / 300 - cosines).max() < 0.01
         assert missed <= 300 * 40 * 0.001
 
