@@ -70,7 +70,15 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(folder)
     if _SCRATCH and not keep:
         _SCRATCH[-1].append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.stored_in = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables before their operator ends: nothing reads them any more."""
+    for table in tables:
+        remove_folders(table.sparkSession, table.stored_in)
 
 
 SEND_ROWS = 2_000_000  # ids that are sent whole to all executors; beyond, the join is shuffled

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcat.llm.common import HashIndex, as_texts, bound_batches, bytes_of, free_shuffles, hashed_sample, mixed, scratch, sent, shipped, slices, stored, tidied, words_of
+from semcat.llm.common import HashIndex, as_texts, bound_batches, bytes_of, discard, free_shuffles, hashed_sample, mixed, scratch, sent, shipped, slices, stored, tidied, words_of
 from semcat.llm.graph import components
 
 # Bound of the documents in which frequent shingles are looked for.  They only set
@@ -151,7 +151,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     2. Every group meets the most central group of each list of a shingle, and every
        member its group: verified, these links join most of what belongs together.
     3. What is in lists of several components meets all others: group pairs are
-       filtered by size, by ids that the other cannot have and by what their
+       filtered by size, by the place of the first id they share and by what their
        prefixes share, expanded to members of different components and verified.  So no link between components is lost,
        and no list of near copies is paired with itself.
 
@@ -170,8 +170,9 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     order = shipped(spark, frequent_shingles(docs, words))
     made = shingle_sets(docs, words, order, percent).withColumn("row_no", F.monotonically_increasing_id())
-    rows = stored(made, "prefixes")
-    full = rows.where("n_shingles > 0 and doc_id is not null").withColumn("reach", F.size("ids"))
+    whole = stored(made, "prefixes")
+    rows = stored(whole.select("doc_id", "n_shingles", "key1", "key2"), "row_keys")
+    full = whole.where("n_shingles > 0 and doc_id is not null").withColumn("reach", F.size("ids"))
     one = F.min(F.struct("doc_id", "row_no", "least", "reach", "prefix1", "prefix2")).alias("one")
     copies = stored(full.groupBy("key1", "key2", "n_shingles").agg(one), "distinct_sets")
     unique = copies.select("n_shingles", "one.*")
@@ -186,18 +187,17 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     member = unique.join(several.select(*same_prefix, "gid"), same_prefix, "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
     members = stored(member, "members")
     prefixes = stored(full.select("row_no", "ids").join(groups.select("row_no", "key", "gid", "n_shingles"), "row_no").drop("row_no"), "group_prefixes")
+    discard(whole)
     index = prefixes.select(F.posexplode("ids").alias("pos", "id"), "key")
     shared = index.select("id").groupBy("id").count().where("count > 1").select("id")
-    # Lists of one group go.  Ids of a group in front of a shared one that stand in
-    # no other list are in no set that has the shared one: they bound the overlap.
+    # Lists of one group go.
     own = Window.partitionBy("key")
     listed = (
         index.join(shared.hint("shuffle_hash"), "id")
-        .join(groups.select("key", "gid", "n_shingles", "least", "reach"), "key")
-        .withColumn("lone", F.col("pos") + 1 - F.row_number().over(own.orderBy("pos")))
+        .join(groups.select("key", "gid", F.col("n_shingles").cast("int"), F.col("least").cast("int"), "reach"), "key")
         .withColumn("recent", F.collect_list("id").over(own.orderBy("pos").rowsBetween(-RECENT, -1)))
-        .withColumn("all_lone", F.col("reach") - F.count("*").over(own))
-        .drop("pos", "reach", "key")
+        .withColumn("all_lone", (F.col("reach") - F.count("*").over(own)).cast("int"))
+        .drop("reach", "key")
     )
     listed = stored(listed, "lists")
     free_shuffles(spark)
@@ -216,18 +216,21 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "gid", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     placed = stored(placed, "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    known = listed.select("id", "gid", "n_shingles", "lone", "recent").join(spans, "gid")
+    known = listed.select("id", "gid", "n_shingles", "pos", "recent").join(spans, "gid")
     mixed_lists = known.groupBy("id").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("id")
     open_lists = stored(known.join(mixed_lists.hint("shuffle_hash"), "id"), "open_lists")
+    discard(listed)
     x, y = open_lists.alias("x"), open_lists.alias("y")
     apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-    most = F.least(F.col("x.n_shingles") - F.col("x.lone"), F.col("y.n_shingles") - F.col("y.lone"))
+    # Ids stand in one order everywhere: at the first that two sets share, neither has one of the
+    # other's before it, so what is left from there bounds the overlap.
+    most = F.least(F.col("x.n_shingles") - F.col("x.pos"), F.col("y.n_shingles") - F.col("y.pos"))
     reachable = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
     # Where both had the same id shortly before, the pair is met there.
     opens = ~F.arrays_overlap("x.recent", "y.recent")
     met = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles") & reachable & opens)
     met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
-    free_shuffles(spark)
+    discard(open_lists)
     # Up to the end of the prefix that ends first, the prefixes tell all that is shared.
     side = {n: prefixes.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
     ends = F.element_at("g_ids", -1) <= F.element_at("o_ids", -1)
