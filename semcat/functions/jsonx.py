@@ -47,36 +47,42 @@ def _parsed(batch: pa.Array) -> Iterator:
 
 
 # Shapes, as schema_of_variant names them, that need no Python.
-_ONE = "(STRING|BIGINT|VOID)"
-_OBJECT = rf"OBJECT<(\w+: {_ONE}(, )?)*>"
-_SCALAR, _LIST, _FIELDS, _ROWS = (f"^{x}$" for x in (_ONE, f"ARRAY<{_ONE}>", _OBJECT, f"ARRAY<{_OBJECT}>"))
-_PLAIN = "|".join((_SCALAR, _LIST, _FIELDS, _ROWS))
+_ONES = ("STRING", "BIGINT", "VOID")
+_OBJECT = rf"OBJECT<(\w+: ({'|'.join(_ONES)})(, )?)*>"
 _VALUES = "struct<" + ",".join(f"{key}:string" for key in VALUE_KEYS) + ">"
+_ODD, _SCALAR, _LIST, _FIELDS, _ROWS = range(5)
+
+
+def _kind(value: Column) -> Column:
+    """Which plain shape a variant has; none at all counts as a scalar."""
+    shape = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull() | shape.isin(*_ONES), _SCALAR)
+        .when(shape.isin(*[f"ARRAY<{one}>" for one in _ONES]), _LIST)
+        .when(shape.rlike(f"^{_OBJECT}$"), _FIELDS)
+        .when(shape.rlike(f"^ARRAY<{_OBJECT}>$"), _ROWS)
+        .otherwise(_ODD)
+    )
 
 
-def _plain_list(value: Column, shape: Column) -> Column:
+def _plain_list(value: Column, kind: Column) -> Column:
     """First scalars of the entries of a variant of plain shape; nothing and null are the empty list."""
 
-    def as_type(kind: str) -> Column:
-        return F.try_variant_get(value, "$", kind)
+    def as_type(name: str) -> Column:
+        return F.try_variant_get(value, "$", name)
 
     def of_object(fields: Column) -> Column:
         return F.coalesce(*[normalise_string(fields[key]) for key in VALUE_KEYS])
 
     found = (
-        F.when(shape.rlike(_SCALAR), F.array(normalise_string(as_type("string"))))
-        .when(shape.rlike(_LIST), F.transform(as_type("array<string>"), normalise_string))
-        .when(shape.rlike(_FIELDS), F.array(of_object(as_type(_VALUES))))
-        .when(shape.rlike(_ROWS), F.transform(as_type(f"array<{_VALUES}>"), of_object))
+        F.when(kind == _SCALAR, F.array(normalise_string(as_type("string"))))
+        .when(kind == _LIST, F.transform(as_type("array<string>"), normalise_string))
+        .when(kind == _FIELDS, F.array(of_object(as_type(_VALUES))))
+        .when(kind == _ROWS, F.transform(as_type(f"array<{_VALUES}>"), of_object))
     )
     return F.array_compact(F.coalesce(found, F.array().cast("array<string>")))
 
 
-def _odd(parsed: Column, shape: Column, text: Column) -> Column:
-    """Texts that the variant does not stand for, or of another shape; a broken text is left to the walk, which raises."""
-    return text.isNotNull() & (parsed.isNull() | ~F.coalesce(shape.rlike(_PLAIN), F.lit(True)))
-
-
 def _single(c: Column, native: Callable[[Column], Column], walk: Callable, kind: str) -> Column:
     @F.arrow_udf(kind)
     def walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -85,10 +91,10 @@ def _single(c: Column, native: Callable[[Column], Column], walk: Callable, kind:
 
     arrow = pa.string() if kind == "string" else pa.list_(pa.string())
     parsed = F.try_parse_json(c)
-    shape = F.schema_of_variant(parsed)
-    odd = _odd(parsed, shape, c)
-    # A null argument costs the worker nothing.
-    return F.when(odd, walked.asNondeterministic()(F.when(odd, c))).otherwise(native(_plain_list(parsed, shape)))
+    kind_of = _kind(parsed)
+    # A text that is no variant, broken ones too, is left to the walk; a null argument costs the worker nothing.
+    odd = c.isNotNull() & (parsed.isNull() | (kind_of == _ODD))
+    return F.when(odd, walked.asNondeterministic()(F.when(odd, c))).otherwise(native(_plain_list(parsed, kind_of)))
 
 
 def json_first(c: Column) -> Column:
@@ -148,12 +154,11 @@ def with_json_fields(df: DataFrame, column: str, scalars: dict[str, str], lists:
     # Separate steps keep each from being computed once per reference.
     values = [F.try_variant_get(parsed, f"$.{path}", "variant").alias(name) for path, name in at.items()]
     steps = steps.select("*", *values)
-    steps = steps.select("*", *[F.schema_of_variant(name).alias(f"{name}s") for name in at.values()])
-    plain = [F.coalesce(c(f"{name}s").rlike(_PLAIN), F.lit(True)) for name in at.values()]
-    odd = c(column).isNotNull() & (c(parsed).isNull() | ~F.forall(F.array(*plain), lambda p: p))
+    steps = steps.select("*", *[_kind(c(name)).alias(f"{name}k") for name in at.values()])
+    odd = c(column).isNotNull() & (c(parsed).isNull() | (F.least(*[c(f"{name}k") for name in at.values()], F.lit(_ROWS)) == _ODD))
     steps = steps.select(
         "*",
-        *[_plain_list(c(name), c(f"{name}s")).alias(f"{name}l") for name in at.values()],
+        *[_plain_list(c(name), c(f"{name}k")).alias(f"{name}l") for name in at.values()],
         json_fields(F.when(odd, c(column)), scalars, lists).alias(walked),
     )
 
