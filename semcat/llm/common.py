@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.session import work_dir
+from semcat.session import bound_batches, work_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of text that one numpy step looks at; longer documents pass whole.
@@ -29,16 +29,6 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 _SCRATCH: list[list[str]] = []
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches of at most so many bytes, beside one row: very long texts else come by the thousand.
-
-    A setting of the session's own stays.
-    """
-    if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, size)
 
 
 def remove_folders(spark: SparkSession, *folders: str) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -16,13 +18,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from semcat.functions.text import py_strip
 from semcat.schema import ORDER_COLUMN
-from semcat.session import work_dir
+from semcat.session import bound_batches, work_dir
 from semcat.sources.paths import matching, unpack_member
 
 # Fixed value: the table inside a dump archive.
 DUMP_MEMBER = "data.parquet"
 _FILE_ROWS = 1 << 32
 UNPACKED_AT_ONCE = 4  # archives
+_BATCH_ROWS = 1024
 
 
 def read_programmes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -57,8 +60,11 @@ def archive_rows(
     """Rows of one Parquet member of every archive in (path, content, position).
 
     Archives are read in parallel.  ``row_order`` follows the position of the
-    archive, then the place of the row inside it.
+    archive, then the place of the row inside it.  A worker holds archives of a few
+    megabytes at a time, or one larger, and some rows of it: the member is unpacked to a
+    file that goes with its last row.
     """
+    bound_batches(archives.sparkSession)
     ordered = T.StructType([*schema.fields, T.StructField(ORDER_COLUMN, T.LongType())])
     arrow = to_arrow_schema(ordered)
     names = schema.names
@@ -68,12 +74,15 @@ def archive_rows(
             members = archive.namelist()
             if member not in members:
                 raise ValueError(f"{member!r} not found in {path}; members: {members}")
-            table = pq.ParquetFile(pa.BufferReader(archive.read(member)))
-        for batch in table.iter_batches(columns=names):
-            columns = [batch.column(n).cast(arrow.field(n).type) for n in names]
-            columns.append(pa.array(range(first, first + batch.num_rows), pa.int64()))
-            first += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            with tempfile.TemporaryFile() as unpacked:
+                with archive.open(member) as packed:
+                    shutil.copyfileobj(packed, unpacked, 1 << 20)
+                unpacked.seek(0)
+                for batch in pq.ParquetFile(unpacked).iter_batches(_BATCH_ROWS, columns=names):
+                    columns = [batch.column(n).cast(arrow.field(n).type) for n in names]
+                    columns.append(pa.array(range(first, first + batch.num_rows), pa.int64()))
+                    first += batch.num_rows
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

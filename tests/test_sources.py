@@ -1,5 +1,6 @@
 """Sources, sinks and the vector store on storage."""
 
+import io
 import json
 import os
 import threading
@@ -380,3 +381,45 @@ def test_lost_hint_changes_nothing(spark, tmp_path):
     (tmp_path / "commits" / "_folded").unlink()
     again = VectorStore.open(spark, str(tmp_path), "m", 2)
     assert state(again) == state(store) and again.has_batch("b1") and len(again.commits()) == 1
+
+
+def test_archives_of_a_partition_come_a_few_at_a_time(spark):
+    """Forty archives of a megabyte in one task, once a single batch; the rows of each in small batches."""
+    from semcat.session import bound_batches
+
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("b", T.BinaryType())])
+    table = pa.table({"n": pa.array(range(3000), pa.int64()), "b": [os.urandom(350) for _ in range(3000)]})
+    parquet, packed = io.BytesIO(), io.BytesIO()
+    pq.write_table(table, parquet)
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("data.parquet", parquet.getvalue())
+    one = spark.createDataFrame([(bytearray(packed.getvalue()),)], "content binary")
+    archives = spark.range(0, 40, numPartitions=1).crossJoin(one).select(F.col("id").cast("string").alias("path"), "content", F.col("id").alias("position"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = catalogue.archive_rows(archives, schema)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    came = archives.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in came) == 40 and max(r["bytes"] for r in came) < 12 << 20
+    assert rows.count() == 40 * 3000 and rows.agg(F.countDistinct("row_order")).first()[0] == 40 * 3000
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "3m")
+    bound_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "3m"  # a setting of the session's own stays
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_landed_programmes_are_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from semcat.registry import fixtures
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("uuid"), F.sha2(F.col("id").cast("string"), 256).alias("description"))
+    rows.write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert fixtures.land_programmes(table, str(tmp_path / "few")) == 1 and len(list((tmp_path / "few").glob("*.parquet"))) == 2
+    monkeypatch.setattr(fixtures, "LANDED_BYTES", 20_000)
+    share = fixtures.land_programmes(table, str(tmp_path / "many"))
+    files = list((tmp_path / "many").glob("*.parquet"))
+    assert share > 2 and len(files) == 2 * share and max(f.stat().st_size for f in files) < 60_000
+    assert sorted(spark.read.parquet(str(tmp_path / "many")).collect()) == sorted(table.collect())
