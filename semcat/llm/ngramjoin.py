@@ -80,12 +80,26 @@ def _lists(flat: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def parities(value: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each set a bit for every remainder of its ids: whether an odd number of them has it.
+
+    Bits are a power of two, 64 or the set's size at least.  An id that stands in one of two sets only
+    turns one bit, so sets differ in as many ids as their bits differ, or in more.
+    """
+    words = np.maximum(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 64) >> 6
+    ends = np.concatenate([[0], np.cumsum(words)])
+    bit = (value & ((words[doc] << 6) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount((ends[doc] << 6) + bit, minlength=ends[-1] << 6).astype(np.uint8) & 1
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
 def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None) -> DataFrame:
     """doc_id, n_shingles and the ids of the shingles in their order.
 
     With a percentage the ids are cut to the prefix: two sets that are linked
     share an id of their prefixes, and near copies mostly ``least``.  128-bit keys of
-    the whole set (key1, key2) and of the prefix (prefix1, prefix2) then come along.
+    the whole set (key1, key2) and of the prefix (prefix1, prefix2) and the parities
+    of the whole set then come along.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -111,10 +125,11 @@ def shingle_sets(docs: DataFrame, words: int, order, percent: int | None = None)
                             sums = np.zeros(n, np.uint64)
                             np.add.at(sums, doc[some], mixed(value[some] ^ mixed(np.full(1, salt, np.uint64))))
                             columns[f"{key}{salt}"] = pa.array(sums.view(np.int64))
+                    columns["parity"] = parities(value, doc, size)
                 yield pa.RecordBatch.from_pydict(columns)
 
     more = "" if percent is None else ", least long"
-    tail = "" if percent is None else ", key1 long, key2 long, prefix1 long, prefix2 long"
+    tail = "" if percent is None else ", key1 long, key2 long, prefix1 long, prefix2 long, parity array<long>"
     return docs.select("doc_id", "text").mapInArrow(tidied(rows), f"doc_id {kind}, n_shingles long{more}, ids array<long>{tail}")
 
 
@@ -139,6 +154,31 @@ def _compatible(percent: int, x: str, y: str):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _enough(percent: int, both, x: str, y: str):
+    return both * (100 + percent) >= (F.col(x) + F.col(y)) * percent
+
+
+def _halved(parity, other):
+    """The parity as it is with as few bits as the other has; sets of half the size at least have half the bits or as many."""
+    half = (F.size(parity) / 2).cast("int")
+    folded = F.zip_with(F.slice(parity, 1, half), F.slice(parity, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(parity) > F.size(other), folded).otherwise(parity)
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of groups without those whose parities differ in too many bits for a link.
+
+    A group without a parity, or of another number of bits, passes.
+    """
+    for name in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("gid").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("parity").alias(f"{name}_parity")), name)
+    a, b = F.col("a_parity"), F.col("b_parity")
+    turned = F.zip_with(_halved(a, b), _halved(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(turned, F.lit(0), lambda x, y: x + y)
+    most = (F.col("a_size") + F.col("b_size") - apart) / 2
+    return pairs.where(F.coalesce(_enough(percent, most, "a_size", "b_size"), F.lit(True))).select("a", "b").distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
@@ -151,7 +191,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     2. Every group meets the most central group of each list of a shingle, and every
        member its group: verified, these links join most of what belongs together.
     3. What is in lists of several components meets all others: group pairs are
-       filtered by size, by the place of the first id they share and by what their
+       filtered by size, by the place of the first id they share, by the parities of groups of one set and by what their
        prefixes share, expanded to members of different components and verified.  So no link between components is lost,
        and no list of near copies is paired with itself.
 
@@ -180,24 +220,26 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same_prefix = ["n_shingles", "prefix1", "prefix2"]
     lowest = F.min(F.struct("doc_id", "row_no", "least", "reach")).alias("low")
     grouped = unique.groupBy(*same_prefix).agg(lowest, F.count("*").alias("size"))
-    # Texts of one doc_id may be in several groups; key tells these apart.
-    named = grouped.select(*same_prefix, F.xxhash64(*same_prefix).alias("key"), F.col("low.doc_id").alias("gid"), "low.row_no", "low.least", "low.reach", "size")
+    # Texts of one doc_id may be in several groups; row_no tells these apart.
+    named = grouped.select(*same_prefix, F.col("low.doc_id").alias("gid"), "low.row_no", "low.least", "low.reach", "size")
     groups = stored(named, "groups")
     several = groups.where("size > 1")
     member = unique.join(several.select(*same_prefix, "gid"), same_prefix, "left").select("doc_id", F.coalesce("gid", "doc_id").alias("gid"), "n_shingles")
     members = stored(member, "members")
-    prefixes = stored(full.select("row_no", "ids").join(groups.select("row_no", "key", "gid", "n_shingles"), "row_no").drop("row_no"), "group_prefixes")
+    # Members of a group share the prefix only, so its parity is that of a lone member.
+    alone = F.when(F.col("size") == 1, F.col("parity")).alias("parity")
+    prefixes = stored(full.select("row_no", "ids", "parity").join(groups.select("row_no", "gid", "n_shingles", "size"), "row_no").select("row_no", "gid", "n_shingles", "ids", alone), "group_prefixes")
     discard(whole)
-    index = prefixes.select(F.posexplode("ids").alias("pos", "id"), "key")
-    shared = index.select("id").groupBy("id").count().where("count > 1").select("id")
+    marks = prefixes.select("gid", "n_shingles", "parity")
+    index = prefixes.select(F.posexplode("ids").alias("pos", "id"), "row_no")
     # Lists of one group go.
-    own = Window.partitionBy("key")
+    shared = index.withColumn("groups", F.count("*").over(Window.partitionBy("id"))).where("groups > 1").drop("groups")
+    own = Window.partitionBy("row_no")
     listed = (
-        index.join(shared.hint("shuffle_hash"), "id")
-        .join(groups.select("key", "gid", F.col("n_shingles").cast("int"), F.col("least").cast("int"), "reach"), "key")
+        shared.join(groups.select("row_no", "gid", F.col("n_shingles").cast("int"), F.col("least").cast("int"), "reach"), "row_no")
         .withColumn("recent", F.collect_list("id").over(own.orderBy("pos").rowsBetween(-RECENT, -1)))
         .withColumn("all_lone", (F.col("reach") - F.count("*").over(own)).cast("int"))
-        .drop("reach", "key")
+        .drop("reach", "row_no")
     )
     listed = stored(listed, "lists")
     free_shuffles(spark)
@@ -206,7 +248,7 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sizes = groups.select(F.col("gid").alias("lead"), F.col("n_shingles").alias("l_size"), F.col("least").alias("l_least"))
     met = listed.join(leads, "id").where("gid != lead").groupBy("gid", "n_shingles", "least", "lead").count().join(sizes, "lead")
     near = met.where(_compatible(percent, "n_shingles", "l_size") & (F.col("count") >= F.least("least", "l_least")))
-    first = near.select(F.col("lead").alias("a"), F.col("gid").alias("b")).unionByName(
+    first = _alike(near.select(F.col("lead").alias("a"), F.col("gid").alias("b")), marks, percent).unionByName(
         members.where("doc_id != gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
     )
     links = stored(_linked(first, docs, words, order, percent), "links1")
@@ -217,7 +259,11 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = stored(placed, "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     known = listed.select("id", "gid", "n_shingles", "pos", "recent").join(spans, "gid")
-    mixed_lists = known.groupBy("id").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("id")
+    # Of two sets that are linked, the smaller has enough left from the first id that both have on: lists
+    # where all stand later than that go, too.
+    early = (F.col("n_shingles") - F.col("pos")) * F.lit(100 + percent).cast("long") >= F.col("n_shingles") * F.lit(2 * percent).cast("long")
+    lists = known.groupBy("id").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.max(early).alias("early"))
+    mixed_lists = lists.where("l < h and early").select("id")
     open_lists = stored(known.join(mixed_lists.hint("shuffle_hash"), "id"), "open_lists")
     discard(listed)
     x, y = open_lists.alias("x"), open_lists.alias("y")
@@ -229,15 +275,17 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # Where both had the same id shortly before, the pair is met there.
     opens = ~F.arrays_overlap("x.recent", "y.recent")
     met = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.gid") < F.col("y.gid")) & apart & _compatible(percent, "x.n_shingles", "y.n_shingles") & reachable & opens)
-    met = stored(met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct(), "group_pairs")
+    met = stored(met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct(), "group_pairs")
     discard(open_lists)
+    met = stored(_alike(met, marks, percent).select(F.col("a").alias("g"), F.col("b").alias("o")), "alike_pairs")
     # Up to the end of the prefix that ends first, the prefixes tell all that is shared.
+    wanted = sent(met.select(F.explode(F.array("g", "o")).alias("gid")).distinct())
+    prefixes = prefixes.join(wanted, "gid", "left_semi")
     side = {n: prefixes.select(F.col("gid").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("ids", "n_shingles"))) for n in "go"}
     ends = F.element_at("g_ids", -1) <= F.element_at("o_ids", -1)
     rest = F.when(ends, F.col("g_n_shingles") - F.size("g_ids")).otherwise(F.col("o_n_shingles") - F.size("o_ids"))
     could = F.size(F.array_intersect("g_ids", "o_ids")) + rest
-    enough = could * (100 + percent) >= (F.col("g_n_shingles") + F.col("o_n_shingles")) * percent
-    pairs = met.join(side["g"], "g").join(side["o"], "o").where(enough).select("g", "o")
+    pairs = met.join(side["g"], "g").join(side["o"], "o").where(_enough(percent, could, "g_n_shingles", "o_n_shingles")).select("g", "o")
     inner = placed.join(several.select("gid"), "gid", "left_semi").select(F.col("gid").alias("g"), F.col("gid").alias("o")).distinct()
     one = placed.select(F.col("gid").alias("g"), F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     two = placed.select(F.col("gid").alias("o"), F.col("doc_id").alias("b"), F.col("root").alias("rb"))
@@ -248,5 +296,5 @@ def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     final = copies.select("key1", "key2", "n_shingles", F.col("one.doc_id").alias("rep"))
     final = final.join(joined, F.col("rep") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("root", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key1", "key2").join(final, ["key1", "key2", "n_shingles"], "left")
-    alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
-    return out.select("doc_id", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id"))
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))

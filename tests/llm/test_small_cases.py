@@ -160,6 +160,36 @@ def test_near_copies_chain(spark):
     assert dict(zip(out.doc_id, out.component_id)) == want
 
 
+def test_near_copies_verifies_few_pairs(spark, monkeypatch):
+    """Of families that share much, but too little for a link, hardly a pair of whole sets is made; links in them are found."""
+    monkeypatch.setattr(ngramjoin, "frequent_shingles", lambda docs, words: ngramjoin.ShingleOrder(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    verified, linked = [], ngramjoin._linked
+    monkeypatch.setattr(ngramjoin, "_linked", lambda pairs, *rest: verified.append(pairs.count()) or linked(pairs, *rest))
+    rows = []
+    for c in range(4):
+        for k in range(30):
+            text = [f"c{c}w{n}" for n in range(180)] + [f"c{c}k{k}w{n}" for n in range(30)]
+            rows.append((100 * c + k, " ".join(text), "en", "s"))
+        rows.append((100 * c + 50, " ".join([*text[:-1], "other"]), "en", "s"))
+    out = near_copies(table(spark, rows), 4, 85).toPandas()
+    assert dict(zip(out.doc_id, out.component_id)) == brute_components(rows, 4, 85) == {i: i - 21 if i % 100 == 50 else i for i, *_ in rows}
+    assert sum(verified) < 300
+
+
+def test_parities_bound_what_sets_differ_in():
+    sizes = [0, 1, 63, 64, 65, 127, 128, 129, 1000]
+    sets = [RNG.integers(0, 1 << 63, n).astype(np.uint64) for n in sizes]
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    bits = ngramjoin.parities(np.concatenate(sets), doc, np.array(sizes)).to_pylist()
+    assert [64 * len(b) for b in bits] == [64, 64, 64, 64, 128, 128, 128, 256, 1024]
+    for ids, words in zip(sets, bits):
+        want = [0] * len(words)
+        for i in ids.tolist():
+            at = i % (64 * len(words))
+            want[at // 64] ^= 1 << at % 64
+        assert [w % (1 << 64) for w in words] == want
+
+
 def test_suffix_dedup(docs, none, rows):
     out = without_repeats(docs)
     assert without_repeats(none).count() == 0 and {"k", "t", "lang"} <= set(out.columns)
